@@ -39,3 +39,16 @@ def corrected_kurtosis(c: Column) -> Column:
     n = F.count(c).cast("double")
     den = F.nullif((n - 2) * (n - 3), F.lit(0.0))
     return F.when(n > 3, (n - 1) / den * ((n + 1) * F.kurtosis(c) + 6.0))
+
+
+def weighted_pair_sums(x: Column, y: Column, w: Column, prefix: str = "") -> list[Column]:
+    """Pair sums of rows that stand for ``w`` equal rows each."""
+    x, y = x.cast("double"), y.cast("double")
+    return [
+        F.sum(w).alias(f"{prefix}n"), F.sum(w * x).alias(f"{prefix}sx"), F.sum(w * y).alias(f"{prefix}sy"),
+        F.sum(w * x * x).alias(f"{prefix}sxx"), F.sum(w * y * y).alias(f"{prefix}syy"),
+        F.sum(w * x * y).alias(f"{prefix}sxy"),
+    ]
+
+
+weighted_pearson = pearson

@@ -142,3 +142,37 @@ def order_positions(df: DataFrame, keys: Sequence[str], by: Sequence[str], name:
         pos = pos + F.col(f"_b{i}")
         size = F.col("_t0") if size is None else size
     return out.select(*df.columns, pos.alias(name), size.alias(f"{name}_n"))
+
+
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Per group: ``n``, ``pearson`` and ``spearman`` over complete pairs.
+
+    Equal pairs are merged first, ranks come from the merged counts, and the correlation is
+    read off moment sums; a constant side gives NULL for pearson and 0 for spearman.
+    """
+    from daybook.functions.moments import weighted_pair_sums, weighted_pearson
+
+    keys = list(keys)
+    pairs = (
+        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+
+    def ranks(v: str, name: str) -> DataFrame:
+        n = pairs.groupBy(*keys, v).agg(F.sum("_c").alias("n"))
+        rc = running_counts(n, keys, v)
+        return rc.select(*keys, v, (F.col("below_n") + (F.col("n") + 1) / 2.0).alias(name))
+
+    ranked = pairs.join(ranks("_x", "_rx"), [*keys, "_x"]).join(ranks("_y", "_ry"), [*keys, "_y"])
+    c = F.col("_c").cast("double")
+    sums = weighted_pair_sums(F.col("_x"), F.col("_y"), c, "p_") + weighted_pair_sums(
+        F.col("_rx"), F.col("_ry"), c, "r_"
+    )
+    out = ranked.groupBy(*keys).agg(*sums)
+    return out.select(
+        *keys,
+        F.col("p_n").cast("long").alias("n"),
+        weighted_pearson("p_").alias("pearson"),
+        F.coalesce(weighted_pearson("r_"), F.lit(0.0)).alias("spearman"),
+    )

@@ -174,7 +174,7 @@ def _family(name: str, cols: list[str]) -> None:
 
     @query(name, sql(body, "k"))
     def run(s, d):
-        return kpi.compute_kpis(st.reports(s, d), st.ENERGY_SECTOR, st.BANK_SECTOR, KEYS).select(
+        return kpi.compute_kpis(st.reports(s, d), st.energy(), st.bank(), KEYS).select(
             *KEYS, *[r6(c).alias(c) for c in cols]
         )
 
@@ -243,12 +243,12 @@ _SUBCOLS = [f"{x}_score" for x in peers.SUBSCORES]
 
 @query(
     "c5_sub_scores",
-    sql("select entity, report_date, " + ", ".join(f"round({c},6) {c}, case when {c} is null then 0 else 1 end {c[:-6]}_computable" for c in _SUBCOLS) + " from sc", "sc"),
+    sql("select entity, report_date, " + ", ".join(f"round({c},9) {c}, case when {c} is null then 0 else 1 end {c[:-6]}_computable" for c in _SUBCOLS) + " from sc", "sc"),
 )
 def c5(s, d):
     spine = st.kpis(s, d).select(*st.REPORT_COLS, "frequency", "period")
     t = peers.score_table(spine, st.percentiles(s, d), peers.rule_table(s, st.SECTOR_RULES), KEYS)
-    return t.select(*KEYS, *[r6(c).alias(c) for c in _SUBCOLS], *[f"{x}_computable" for x in peers.SUBSCORES])
+    return t.select(*KEYS, *[F.round(c, 9).alias(c) for c in _SUBCOLS], *[f"{x}_computable" for x in peers.SUBSCORES])
 
 
 @query("c6_financial_score", sql("select entity, report_date, round(financial_score,6) financial_score from sc", "sc"))

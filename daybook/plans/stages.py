@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.operators import kpi, peers
@@ -11,8 +11,16 @@ from daybook.session import stage
 
 # the five regions stand in for sectors
 ENERGY, BANKS = 0, 1
-ENERGY_SECTOR = F.col("sector") == ENERGY
-BANK_SECTOR = F.col("sector") == BANKS
+
+
+def energy() -> Column:
+    return F.col("sector") == ENERGY
+
+
+def bank() -> Column:
+    return F.col("sector") == BANKS
+
+
 
 # fixed values: KPIs behind each sub-score
 _GENERAL = {
@@ -48,12 +56,12 @@ def reports(s: SparkSession, d: str) -> DataFrame:
 
 
 def kpis(s: SparkSession, d: str) -> DataFrame:
-    return stage(s, d, "kpis", lambda: peers.with_peer_group(kpi.compute_kpis(reports(s, d), ENERGY_SECTOR, BANK_SECTOR, REPORT_COLS)))
+    return stage(s, d, "kpis", lambda: peers.with_peer_group(kpi.compute_kpis(reports(s, d), energy(), bank(), REPORT_COLS)))
 
 
 def kpis_long(s: SparkSession, d: str) -> DataFrame:
     keep = [*REPORT_COLS, "frequency", "period"]
-    return kpi.kpis_to_long(kpis(s, d), keep, ENERGY_SECTOR, BANK_SECTOR)
+    return kpi.kpis_to_long(kpis(s, d), keep, energy(), bank())
 
 
 def percentiles(s: SparkSession, d: str) -> DataFrame:
@@ -65,3 +73,24 @@ def scores(s: SparkSession, d: str) -> DataFrame:
         spine = kpis(s, d).select(*REPORT_COLS, "frequency", "period")
         return peers.score_table(spine, percentiles(s, d), peers.rule_table(s, SECTOR_RULES), REPORT_KEYS)
     return stage(s, d, "scores", build)
+
+
+def assembled(s: SparkSession, d: str) -> DataFrame:
+    """Modelling rows before clipping."""
+    from daybook.operators import table
+    from daybook.plans.q_label import report_labels
+
+    def build():
+        return table.with_flags(
+            table.assemble(scores(s, d), kpis(s, d), report_labels(s, d), fx.text_scores(s, d), "secondary")
+        )
+    return stage(s, d, "assembled", build)
+
+
+def modelling(s: SparkSession, d: str) -> DataFrame:
+    from daybook.operators import table
+
+    return stage(
+        s, d, "modelling",
+        lambda: table.train_eligible(table.change_features(table.winsorize(assembled(s, d)))),
+    )
