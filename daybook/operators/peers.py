@@ -47,10 +47,13 @@ def rule_table(spark, rules: Mapping[object, Mapping[str, Sequence[str]]]) -> Da
 
 
 def sub_scores(pct: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean of the available percentiles per sub-score; the rule table is a fixed literal."""
+    """Mean of the available percentiles per sub-score; the rule table is a fixed literal.
+
+    Means are cut at 12 decimals so that summation order cannot break ties between reports.
+    """
     hit = pct.join(F.broadcast(rules), ["sector", "kpi_name"])
     return hit.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("sub_score") == s, F.col("pct"))).alias(f"{s}_score") for s in SUBSCORES]
+        *[F.round(F.avg(F.when(F.col("sub_score") == s, F.col("pct"))), 12).alias(f"{s}_score") for s in SUBSCORES]
     )
 
 
@@ -59,7 +62,7 @@ def score_table(reports: DataFrame, pct: DataFrame, rules: DataFrame, keys: Sequ
     subs = sub_scores(pct, rules, keys)
     names = [f"{s}_score" for s in SUBSCORES]
     out = peer_group_size(reports).join(subs, list(keys), "left")
-    out = out.withColumn("financial_score", mean_present(names))
+    out = out.withColumn("financial_score", F.round(mean_present(names), 12))
     for s in [*SUBSCORES, "financial"]:
         out = out.withColumn(f"{s}_computable", F.col(f"{s}_score").isNotNull().cast("int"))
     return out

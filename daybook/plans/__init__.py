@@ -1,6 +1,6 @@
 """Composed queries over the given tables."""
 
-from daybook.plans import q_kpi, q_label, q_table
+from daybook.plans import q_kpi, q_label, q_stats, q_table
 from daybook.plans.q_label import flagship
 from daybook.plans.registry import ORACLE, QUERIES
 

@@ -26,7 +26,7 @@ def sql(body: str, *deps: str) -> str:
         add(n)
     if not order:
         return body
-    return "with " + ",\n".join(f"{n} as ({CTES[n][1]})" for n in order) + "\n" + body
+    return "with " + ",\n".join(f"{n} as materialized ({CTES[n][1]})" for n in order) + "\n" + body
 
 
 def _m(x: str) -> str:

@@ -100,7 +100,7 @@ cte("rules", f"select * from (values {_RULES}) v(sector, sub_score, kpi_name)")
 cte(
     "subs",
     "select entity, report_date, "
-    + ", ".join(f"avg(pct) filter (where sub_score = '{x}') {x}_score" for x in peers.SUBSCORES)
+    + ", ".join(f"round(avg(pct) filter (where sub_score = '{x}'), 12) {x}_score" for x in peers.SUBSCORES)
     + " from pc join rules using (sector, kpi_name) group by 1, 2",
     "pc", "rules",
 )
@@ -108,7 +108,7 @@ _N = " + ".join(f"case when {x}_score is null then 0 else 1 end" for x in peers.
 _S = " + ".join(f"coalesce({x}_score, 0)" for x in peers.SUBSCORES)
 cte(
     "sc",
-    f"""select *, ({_S}) / nullif({_N}, 0) financial_score from (
+    f"""select *, round(({_S}) / nullif({_N}, 0), 12) financial_score from (
  select k.entity, k.report_date, sector, form, source, period_end, release_date, frequency, period,
    count(*) over (partition by sector, frequency, period) peer_group_size, """
     + ", ".join(f"{x}_score" for x in peers.SUBSCORES)
