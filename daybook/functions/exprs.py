@@ -102,5 +102,5 @@ def parse_score(raw: ColumnLike) -> Column:
         F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)), lambda s: s.rlike("^[1-5]$")
     )
     last_line = F.try_element_at(lines, F.lit(-1))
-    anywhere = F.nullif(F.regexp_extract(text, r"(?<!\w)([1-5])(?!\w)", 1), F.lit(""))
+    anywhere = F.nullif(F.regexp_extract(text, r"(?U)\b([1-5])\b", 1), F.lit(""))
     return F.coalesce(last_line, anywhere).cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daybook.functions.exprs import r6
 from daybook.operators import peers, table
 from daybook.plans import fixtures as fx
+from daybook.plans import q_kpi as _kpi_ctes  # noqa: F401  (its CTEs are used here)
 from daybook.plans import stages as st
 from daybook.plans.oracle import cte, sql
 from daybook.plans.q_label import report_labels

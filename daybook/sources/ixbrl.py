@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from daybook.functions.exprs import parse_number
 
@@ -82,7 +84,7 @@ def _rows(doc: object, html: str) -> list[tuple]:
         out.append(
             (
                 doc, f["raw_concept"], f["context_ref"], f["unit_ref"], " ".join(f["text"]), f["scale"], f["sign"],
-                c["start"], c["instant"] or c["end"], c["dimensions"],
+                c["start"], c["instant"] or c["end"], list(c["dimensions"].items()),
             )
         )
     return out
@@ -93,17 +95,18 @@ def parse_ixbrl(docs: DataFrame, doc_id: str, html: str) -> DataFrame:
 
     Python only tokenises one document at a time; dates and numbers are Spark columns.
     """
-    names = [doc_id, *[f.split(" ")[0] for f in _FACT.split(", ")]]
     schema = f"{doc_id} {dict(docs.dtypes)[doc_id]}, {_FACT}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text in zip(b[doc_id], b[html]):
-                rows = _rows(doc, text)
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+            rows = [r for d, text in zip(b[0].to_pylist(), b[1].to_pylist()) for r in _rows(d, text)]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow
+                )
 
-    rows = docs.select(doc_id, html).mapInPandas(run, schema)
+    rows = docs.select(doc_id, html).mapInArrow(run, schema)
     start, end = F.try_to_date(F.col("start")), F.try_to_date(F.col("end"))
     return rows.select(
         doc_id,
