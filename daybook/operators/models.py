@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.ranking import order_positions, spearman
 from daybook.operators import metrics as mt
+from daybook.session import materialize
 
 # fixed values
 SEED = 42
@@ -182,7 +183,7 @@ def grid_predictions(specs: Sequence[Spec], frames: DataFrame, folds: Sequence[i
                 rows = mine if both_sides else test
                 got = m.predict(rows.select(*keys, "fold", "role", "y", "x", "z"))
                 parts.append(got.select(*keys, "fold", "role", "y", "pred", F.lit(spec.name).alias("model"), F.lit(str(p)).alias("point")))
-    return _union(parts)
+    return materialize(_union(parts), "grid_predictions")
 
 
 def grid_search(specs: Sequence[Spec], frames: DataFrame, folds: Sequence[int], keys: Sequence[str]) -> DataFrame:
@@ -250,7 +251,7 @@ def learning_curve(spec: Spec, params: Mapping, prefix_frames: Callable[[int, in
         m = fit(spec, params, train)
         for side, rows in (("train", train), ("val", val)):
             parts.append(m.predict(rows).select("y", "pred", F.lit(k).alias("n_train"), F.lit(side).alias("side")))
-    pred = _union(parts)
+    pred = materialize(_union(parts), "curve_predictions")
     by = ["n_train", "side"]
     return mt.rmse(pred, "pred", "y", by).join(spearman(pred, by, "pred", "y").select(*by, "spearman"), by)
 
@@ -264,18 +265,17 @@ def permutation_importance(fits: Mapping[int, Fitted], frames: DataFrame, names:
     """
     arr = "z" if next(iter(fits.values())).spec.scaled else "x"
     test = frames.filter(F.col("role") == "test").filter(F.col("fold").isin(list(fits)))
-    own = order_positions(test, ["fold"], list(by), "_p").drop("_p_n")
+    own = materialize(order_positions(test, ["fold"], list(by), "_p").drop("_p_n"), "fold_positions")
     base = _union([m.predict(own.filter(F.col("fold") == f)) for f, m in fits.items()])
     base_s = spearman(base, ["fold"], "pred", "y").select("fold", F.col("spearman").alias("base"))
-    shuffled = []
-    for r in range(repeats):
-        mixed = test.withColumn("_h", F.xxhash64(F.lit(SEED + r), *keys))
-        donor = order_positions(mixed, ["fold"], ["_h", *by], "_p").select("fold", "_p", F.col(arr).alias("_other"))
-        shuffled.append(own.join(donor, ["fold", "_p"]).withColumn("repeat", F.lit(r)))
-    allr = _union(shuffled)
-    each = allr.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
+    again = test.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    mixed = again.withColumn("_h", F.xxhash64(F.col("repeat") + SEED, *keys))
+    donor = order_positions(mixed, ["fold", "repeat"], ["_h", *by], "_p").select("fold", "repeat", "_p", F.col(arr).alias("_other"))
+    pairs = materialize(own.join(donor, ["fold", "_p"]), "permuted_rows")
+    each = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
     swapped = each.withColumn(arr, F.transform(arr, lambda v, i: F.when(i == F.col("_j"), F.col("_other")[i]).otherwise(v)))
     pred = _union([m.predict(swapped.filter(F.col("fold") == f)) for f, m in fits.items()])
+    pred = materialize(pred.select("fold", "_j", "repeat", "pred", "y"), "permuted_predictions")
     s = spearman(pred, ["fold", "_j", "repeat"], "pred", "y")
     name = F.array(*[F.lit(x) for x in names])
     drop = s.join(base_s, "fold").groupBy("_j").agg(F.avg(F.col("base") - F.col("spearman")).alias("importance"))

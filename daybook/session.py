@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,15 @@ def stage(spark: SparkSession, data_dir: str, name: str, build: Callable[[], Dat
         build().write.mode("overwrite").parquet(path)
         _READY.add(path)
     return spark.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared root for one run's table or stream checkpoint."""
+    return f"{shared_root(spark)}/daybook/{spark.sparkContext.applicationId}/run/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once, read back: for a result that several branches of a plan consume."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
