@@ -1,9 +1,10 @@
 """Exact ranks, quantiles and order positions without an unbounded sort group.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` puts a whole group into one task. Here a
-group is first reduced to its distinct values (map-side combine, so a hot value is one row),
-then cut into order-preserving buckets of the value. Running totals are taken over the bucket
-totals (few rows) and inside each bucket; both steps are small windows, results are exact.
+group is first reduced to its distinct values (map-side combine, so a hot value is one row).
+A group that still has many distinct values is cut into order-preserving buckets. Running
+totals are taken over the bucket totals (few rows) and inside each bucket; both steps are
+small windows, results are exact.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed value: buckets per power of two of the magnitude
+# fixed values: buckets per power of two of the magnitude; distinct values a group may sort in
+# one task before it is cut
 BINS_PER_OCTAVE = 4096
+WHOLE_GROUP_VALUES = 200_000
 _SHIFT = 1080 * BINS_PER_OCTAVE
 
 
@@ -35,27 +38,45 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     )
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str] = ("n",)) -> DataFrame:
-    """Add ``below_<s>`` (total of smaller values in the group) and ``total_<s>``.
+def _cut(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+    """Add ``total_<s>`` of the group and ``_bucket``: 0 for groups with few distinct values,
+    else the value's bucket.
 
-    ``counts`` has one row per (keys, value), as ``value_counts`` returns it.
+    Group sizes are one small aggregate; how many groups there are decides at run time
+    whether they are broadcast. All branches read the same columns of ``counts``, so its
+    shuffle is done once and reused.
     """
-    keys = list(keys)
-    cut = counts.withColumn("_bucket", order_bucket(F.col(value)))
+    size = counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_k"), *[F.sum(s).alias(f"total_{s}") for s in sums]
+    )
+    sized = counts.join(size, list(keys)) if keys else counts.crossJoin(F.broadcast(size))  # one row
+    small = F.col("_k") <= WHOLE_GROUP_VALUES
+    bucket = F.when(small, F.lit(0).cast("long")).otherwise(order_bucket(F.col(value)))
+    return sized.withColumn("_bucket", bucket).drop("_k")
+
+
+def _bases(cut: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Per (group, bucket): ``_in_<s>`` and ``_base_<s>``, the total of the buckets before."""
     totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
     # few rows per group: one per occupied bucket
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    base = totals.select(
-        *keys,
-        "_bucket",
+    return totals.select(
+        *keys, "_bucket", *[f"_in_{s}" for s in sums],
         *[F.coalesce(F.sum(f"_in_{s}").over(before), F.lit(0)).alias(f"_base_{s}") for s in sums],
-        *[F.sum(f"_in_{s}").over(whole).alias(f"total_{s}") for s in sums],
     )
+
+
+def running_counts(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str] = ("n",)) -> DataFrame:
+    """Add ``below_<s>`` (total of smaller values in the group) and ``total_<s>``.
+
+    ``counts`` has one row per (keys, value), as ``value_counts`` returns it.
+    """
+    keys = list(keys)
+    cut = _cut(counts, keys, value, sums)
     inside = (
         Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = cut.join(base, [*keys, "_bucket"])
+    out = cut.join(_bases(cut, keys, sums), [*keys, "_bucket"])
     return out.select(
         *counts.columns,
         *[
@@ -85,30 +106,25 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     Only the buckets that hold a wanted order statistic are sorted.
     """
     keys = list(keys)
-    counts = value_counts(df, keys, value).withColumn("_bucket", order_bucket(F.col(value)))
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    base = totals.select(
-        *keys,
-        "_bucket",
-        "_in",
-        F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_base"),
-        F.sum("_in").over(whole).alias("_total"),
-    )
+    cut = _cut(value_counts(df, keys, value), keys, value, ["n"]).withColumnRenamed("total_n", "_total")
+    base = _bases(cut, keys, ["n"])
+
     def at(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_total") - 1)
+
     def holds(start: Column, size: Column, p: float) -> Column:
         return ((start <= F.ceil(at(p))) & (F.floor(at(p)) < start + size))
+
     wanted = F.lit(False)
     for p in probs.values():
-        wanted = wanted | holds(F.col("_base"), F.col("_in"), p)
+        wanted = wanted | holds(F.col("_base_n"), F.col("_in_n"), p)
     inside = (
         Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = counts.join(base.filter(wanted), [*keys, "_bucket"]).withColumn(
-        "_below", F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    rows = cut.join(base, [*keys, "_bucket"]).filter(wanted).withColumn(
+        "_below", F.col("_base_n") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
+
     def pick(pos: Column) -> Column:
         hit = (F.col("_below") <= pos) & (pos < F.col("_below") + F.col("n"))
         return F.max(F.when(hit, F.col(value).cast("double")))

@@ -42,17 +42,17 @@ def first_row_after(reports: DataFrame, prices: DataFrame, entity: str = "entity
 def price_windows(prices: DataFrame, n: int = WINDOW_ROWS, rf: float = RISK_FREE_ANNUAL, entity: str = "entity", day: str = "d", close: str = "adjusted_close") -> DataFrame:
     """Per price row: what a window of ``n`` rows starting there looks like."""
     line = Window.partitionBy(entity).orderBy(day)
-    ahead = line.rowsBetween(0, n - 1)
     # the first return of the window is against its first price, so returns start one row on
     moves = line.rowsBetween(1, n - 1)
+    left = F.count(F.lit(1)).over(Window.partitionBy(entity)) - F.row_number().over(line) + 1
     daily = prices.withColumn("_ret", F.col(close) / F.nullif(F.lag(close).over(line), F.lit(0.0)) - 1)
     return daily.select(
         entity,
         F.col(day),
-        F.count(F.lit(1)).over(ahead).alias("n_rows"),
-        F.last(day).over(ahead).alias("last_day"),
+        left.alias("n_rows"),
+        F.lead(day, n - 1).over(line).alias("last_day"),
         F.col(close).alias("first_close"),
-        F.last(close).over(ahead).alias("last_close"),
+        F.lead(close, n - 1).over(line).alias("last_close"),
         F.avg("_ret").over(moves).alias("mean_ret"),
         F.stddev_samp("_ret").over(moves).alias("sd_ret"),
     )

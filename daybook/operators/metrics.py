@@ -22,12 +22,6 @@ def time_split(df: DataFrame, at: str, split: Column) -> DataFrame:
     return df.withColumn("role", F.when(F.col(at) <= split, "train_val").otherwise("test"))
 
 
-def latest_rows(df: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
-    rest = [c for c in df.columns if c != entity and c not in by]
-    top = df.groupBy(entity).agg(F.max(F.struct(*by, *rest)).alias("_m"))
-    return top.select(entity, *[F.col(f"_m.{c}").alias(c) for c in (*by, *rest)])
-
-
 def time_folds(df: DataFrame, at: str, tie: Sequence[str], n: int = N_FOLDS, gap: int = FOLD_GAP) -> DataFrame:
     """(row, fold, role): consecutive test blocks at the end of the time line, training rows
     are all earlier ones minus ``gap``. Positions are exact without sorting in one task."""

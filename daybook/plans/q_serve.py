@@ -48,7 +48,7 @@ from (select *, row_number() over (order by pred_a desc, entity) rk, count(*) ov
 
 
 def view(s, d):
-    latest = mt.latest_rows(fx.predictions(s, d).select("entity", "rd", "pred_a"), "entity", ["rd"]).withColumns(
+    latest = kpi.latest_report(fx.predictions(s, d).select("entity", "rd", "pred_a"), by=["rd"]).withColumns(
         {
             "no_release_date": (F.col("entity") % 50 == 0).cast("int"),
             "out_of_training_dist": (F.col("entity") % 3 == 0).cast("int"),
