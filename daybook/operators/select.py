@@ -156,11 +156,13 @@ def apply_calculations(rows: DataFrame, rules: Sequence[CalcRule], keys: Sequenc
     """Fill target positions from weighted components, rule by rule.
 
     Positions become columns, so a rule is one projection. A later pass repeats only rules
-    fed by a target that was computed after them. Long rows in, long rows out.
+    whose components may have moved since they ran. Long rows in, long rows out.
     """
+    # components may be rows the caller does not list as positions, or not exist at all
+    names = list(dict.fromkeys([*positions, *[n for r in rules for n in (r.target, *[c for c, _ in r.components])]]))
     present = rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("position") == p, F.col("value"))).alias(p) for p in positions],
-        *[F.max(F.col("position") == p).alias(f"_row_{p}") for p in positions],
+        *[F.max(F.when(F.col("position") == p, F.col("value"))).alias(p) for p in names],
+        *[F.max(F.col("position") == p).alias(f"_row_{p}") for p in names],
     )
     targets = [r.target for r in rules]
     wide = present.withColumns({f"_calc_{t}": F.lit(False) for t in dict.fromkeys(targets)})
@@ -171,10 +173,14 @@ def apply_calculations(rows: DataFrame, rules: Sequence[CalcRule], keys: Sequenc
         for r in todo:
             wide = _apply_rule(wide, r)
         moved = {r.target for r in todo}
-        todo = [
-            r for i, r in enumerate(rules)
-            if any(n in moved and n in targets[i:] for n, _ in r.components)
-        ]
+        again: list[CalcRule] = []
+        for i, r in enumerate(rules):
+            # fed by a target computed at or after it last time, or by a rule that runs again
+            fed = {n for n, _ in r.components}
+            later = {n for n in targets[i:] if n in moved}
+            if fed & (later | {a.target for a in again}):
+                again.append(r)
+        todo = again
     entries = [
         F.struct(
             F.lit(p).alias("position"), F.col(p).alias("value"), F.col(f"_row_{p}").alias("has"),
