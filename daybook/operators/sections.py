@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from daybook.functions.ranking import quantiles
+
 # fixed values: section markers per form (start, end, may run to the end of the text)
 MARKERS = {
     "annual": {
@@ -223,6 +225,19 @@ def score_documents(df: DataFrame, scorer: Scorer, key: str, payload: str, form:
     return cols.mapInPandas(run, schema)
 
 
+def aggregate_vote_rows(votes: DataFrame, keys: Sequence[str], vote: str, replied: Column) -> DataFrame:
+    """The same for one row per vote: exact median per key without gathering its votes.
+
+    ``replied`` tells per row whether a reply came at all.
+    """
+    med = quantiles(votes, keys, vote, {"score_raw": 0.5})
+    seen = votes.groupBy(*keys).agg(F.max(replied.cast("int")).alias("_r"))
+    status = F.when(F.col("score_raw").isNotNull(), "scored").when(F.col("_r") == 1, "missing").otherwise("error")
+    return seen.join(med, list(keys), "left").select(
+        *keys, "score_raw", ((F.col("score_raw") - 1) / 4).alias("score"), status.alias("status")
+    )
+
+
 def aggregate_votes(df: DataFrame, votes: str = "votes", any_reply: Column | None = None) -> DataFrame:
     """Median of the valid votes, rescaled to 0..1; none valid is ``missing`` or ``error``."""
     v = F.array_sort(F.filter(F.col(votes), lambda x: x.isNotNull()))

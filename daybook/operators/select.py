@@ -200,23 +200,40 @@ def zero_fill(rows: DataFrame, value: str = "value") -> DataFrame:
 def decumulate_ytd(rows: DataFrame, fye: DataFrame, entity: str = "entity", limit: int = QUARTER_MAX_DAYS) -> DataFrame:
     """Year-to-date quarterly flows to discrete quarters.
 
-    Lag reads the original rows, so one pass is exact. A group is one entity's filings of one
-    position in one fiscal year. Other rows pass through unchanged.
+    The row before is looked up among the original rows, so one pass is exact. It is the
+    previous filing of the same day or the last one of the previous day: days are reduced by
+    an aggregate first, so an entity with very many filings is never sorted in one task.
+    Other rows pass through unchanged.
     """
     c = F.col
     flow = (
         (c("form") == "10-Q") & c("statement").isin(*FLOW_STATEMENTS) & (c("selection_status") != "missing")
         & c("duration_days").isNotNull() & c("end_date").isNotNull()
     )
-    flow = F.coalesce(flow, F.lit(False))
-    work = rows.join(fye, entity, "left").withColumn("_flow", flow).withColumn(
-        "_fy", F.when(c("_flow"), fiscal_year("end_date", F.coalesce("fye_month", F.lit(12))))
+    work = rows.join(fye, entity, "left").withColumn("_flow", F.coalesce(flow, F.lit(False))).withColumn(
+        "_fy", fiscal_year("end_date", F.coalesce("fye_month", F.lit(12)))
     )
-    # rows outside the rule get their own group per filing, so they never pile up
-    lane = F.when(c("_flow"), F.lit(None).cast("long")).otherwise(F.xxhash64("accession"))
-    w = Window.partitionBy(entity, "position", "_fy", lane).orderBy("end_date", "accession")
-    prev_v, prev_end = F.lag("value").over(w), F.lag("end_date").over(w)
-    seen = work.withColumn("_pv", prev_v).withColumn("_pe", prev_end)
+    group = [entity, "position", "_fy"]
+    own = work.filter("_flow")
+    # last original row of every day; a fiscal year has at most 366 of them
+    days = own.groupBy(*group, "end_date").agg(F.max_by(F.struct("value"), "accession").alias("_v"))
+    w_day = Window.partitionBy(*group).orderBy("end_date")
+    before = days.select(
+        *group, "end_date", F.lag("_v").over(w_day).alias("_dv"), F.lag("end_date").over(w_day).alias("_de")
+    )
+    w_in = Window.partitionBy(*group, "end_date").orderBy("accession")
+    first = F.row_number().over(w_in) == 1
+    same = own.withColumn("_first", first).withColumn("_sv", F.lag("value").over(w_in))
+    seen = same.join(before, [*group, "end_date"]).withColumns(
+        {
+            "_pv": F.when(c("_first"), c("_dv.value")).otherwise(c("_sv")),
+            "_pe": F.when(c("_first"), c("_de")).otherwise(c("end_date")),
+        }
+    ).select(*rows.columns, "_flow", "_pv", "_pe")
+    rest = work.filter("not _flow").select(
+        *rows.columns, "_flow", F.lit(None).cast("double").alias("_pv"), F.lit(None).cast("date").alias("_pe")
+    )
+    seen = seen.unionByName(rest)
     cum = c("_flow") & (c("duration_days") > limit)
     gap = F.datediff("end_date", "_pe")
     usable = c("_pe").isNotNull() & c("_pv").isNotNull() & c("value").isNotNull() & (gap <= limit)

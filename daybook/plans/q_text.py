@@ -241,9 +241,8 @@ def q8(s, d):
     c = read_table(s, d, "conversations")
     n = F.length("text") % 9
     v = F.when((n < 5) & (F.col("conv_id") % 7 != 0), 1 + n)
-    # one array per conversation, as long as its turns
-    votes = c.groupBy("conv_id").agg(F.collect_list(F.struct("turn", v.alias("v"))).alias("x")).withColumn("votes", F.transform("x", lambda e: e["v"]))
-    out = sx.aggregate_votes(votes, "votes", F.col("conv_id") % 2 == 0)
+    rows = c.select("conv_id", v.alias("vote"))
+    out = sx.aggregate_vote_rows(rows, ["conv_id"], "vote", F.col("conv_id") % 2 == 0)
     return out.select("conv_id", F.round("score_raw", 6).alias("score_raw"), F.round("score", 6).alias("score"), "status")
 
 
