@@ -56,6 +56,7 @@ def select_best_fact(candidates: DataFrame, group: Sequence[str] = ("accession",
 
     Each candidate gets a tier (lower is better) and tier-specific sort keys; a single
     ``min`` over the packed keys picks the winner, so a hot filing combines on the map side.
+    Candidates equal in all keys are told apart by their dates and value.
     Needs columns statement, form, report_date, start_date, end_date, filed, source,
     concept_priority and value.
     """

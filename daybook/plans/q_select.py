@@ -100,7 +100,8 @@ from (select *, tier in (5, 7) and form = '10-K' and dur < 300 miss from (
  qualify row_number() over (partition by accession, position order by tier,
    case when tier in (5,7) then case when form = '10-K' then -dur else dur end else 0 end,
    concept_priority, case source when 'companyfacts' then 1 else 2 end,
-   case when tier = 2 then end_date end desc, filed desc, line_no) = 1)""",
+   case when tier = 2 then end_date end desc, filed desc, line_no,
+   dur nulls first, start_date nulls first, end_date, value) = 1)""",
     "f4",
 )
 
