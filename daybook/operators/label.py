@@ -39,7 +39,7 @@ def first_row_after(reports: DataFrame, prices: DataFrame, entity: str = "entity
     return hit.select(*reports.columns, F.col("_hit.d").alias("t1_date"))
 
 
-def price_windows(prices: DataFrame, n: int = WINDOW_ROWS, rf: float = RISK_FREE_ANNUAL, entity: str = "entity", day: str = "d", close: str = "adjusted_close") -> DataFrame:
+def price_windows(prices: DataFrame, n: int = WINDOW_ROWS, entity: str = "entity", day: str = "d", close: str = "adjusted_close") -> DataFrame:
     """Per price row: what a window of ``n`` rows starting there looks like."""
     line = Window.partitionBy(entity).orderBy(day)
     # the first return of the window is against its first price, so returns start one row on
@@ -63,7 +63,7 @@ def forward_labels(reports: DataFrame, prices: DataFrame, n: int = WINDOW_ROWS,
 
     Reports of entities without any price row are left out, as they have no calendar.
     """
-    stats = price_windows(prices, n, rf, entity, day, close)
+    stats = price_windows(prices, n, entity, day, close)
     names = [c for c in stats.columns if c != entity]
     payload = F.struct(*[F.col(c) for c in names])
     known = reports.join(prices.select(entity).distinct(), entity, "left_semi")
