@@ -1 +1,8 @@
-"""Daybook: point-in-time analytics on company reports and prices, on Spark."""
+"""Daybook: point-in-time analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel whole, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
