@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.common import running_start
@@ -28,19 +28,42 @@ MEMO_ENTRIES = 200_000  # of words a Python worker remembers; bounds its memory
 MEMO_CHARS = 48
 
 
+# The steps of a tokenizer whose units can be found beforehand. Each is as its file states it.
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# letters that lower-casing and composing leave single letters
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+
+
 class WordMemo(dict):
     """Token ids (4 bytes each) of a stretch of text without white space, remembered.
 
-    The tokenizer drops white space and starts a new unit there, so the ids of a text are those of its stretches in
-    turn. In plain ASCII letters and other characters never share a unit either, unless there is an apostrophe.
+    A tokenizer of the above steps drops white space and starts a new unit there, so the ids of a text are those of its
+    stretches in turn. Stretches of Latin letters and ASCII without an apostrophe are cut into units here and given to the
+    tokenizer's model, which skips the steps before it; all others go to the tokenizer whole, and so do all texts of other
+    tokenizers. What is remembered is a matter of speed alone.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, path: str):
+        import json
         import re
 
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer, self.units = tokenizer, {}
-        self.split = re.compile(r"[A-Za-z]+|[^A-Za-z]+").findall
+        self.tokenizer, self.units = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        norm, pre = (spec[k] or {} for k in ("normalizer", "pre_tokenizer"))
+        norm, pre = norm.get("normalizers", []), pre.get("pretokenizers", [])
+        steps = ([x["type"] for x in norm], [x["type"] for x in pre])
+        self.known = steps == STEPS and pre[0]["pattern"].get("Regex") == UNITS and not pre[1]["add_prefix_space"]
+        self.simple = re.compile(f"[{LATIN}!-&(-~]+").fullmatch
+        self.cut = re.compile(f"[{LATIN}]+|[0-9]|[^{LATIN}0-9]+").findall
+        # the letters that stand for bytes: printable ones for themselves, the others from 256 on
+        own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letter = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in own)}
 
     def encode(self, s: str) -> bytes:
         import array
@@ -48,27 +71,28 @@ class WordMemo(dict):
         return array.array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
     def unit(self, s: str) -> bytes:
+        import array
+
         s = s.lower()
         got = self.units.get(s)
         if got is None:
-            got = self.encode(s)
-            if len(self.units) >= MEMO_ENTRIES:
-                self.units.clear()
-            self.units[s] = got
+            raw = s if s.isascii() else s.encode().decode("latin-1").translate(self.letter)
+            got = array.array("I", [x.id for x in self.model.tokenize(raw)]).tobytes()
+            if len(self.units) < MEMO_ENTRIES:
+                self.units[s] = got
         return got
 
     def __missing__(self, s: str) -> bytes:
         if len(s) > MEMO_CHARS:
             return self.encode(s)
-        got = b"".join([self.unit(x) for x in self.split(s)]) if s.isascii() and "'" not in s else self.encode(s)
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[s] = got
+        got = b"".join([self.unit(x) for x in self.cut(s)]) if self.simple(s) else self.encode(s)
+        if len(self) < MEMO_ENTRIES:
+            self[s] = got
         return got
 
     def text(self, s: str) -> bytes:
         # special tokens, and characters that split() takes for white space but the tokenizer doesn't
-        if any(x in s for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
+        if not self.known or any(x in s for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
             return self.encode(s)
         return b"".join([self[x] for x in s.split()])
 
@@ -83,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         # kept by the worker process from task to task
         memos = tokenizers.__dict__.setdefault("_word_memos", {})
         if tokenizer_path not in memos:
-            memos[tokenizer_path] = WordMemo(tokenizers.Tokenizer.from_file(tokenizer_path))
+            memos[tokenizer_path] = WordMemo(tokenizer_path)
         memo, end = memos[tokenizer_path], int(end_id).to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:
@@ -258,7 +282,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenize once (kept as a table in the shared folder), then pack."""
-    cut = materialize(pieces(docs, tokenizer_path, id_col=id_col, text=text, capacity=capacity, end_id=end_id), "packing-pieces")
-    return pack(cut, capacity)
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
+    instead_of_ids: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Tokenize once (kept as a table in the shared folder), then pack. ``instead_of_ids``: columns made from ``ids`` that
+    take its place, for callers who need no ids in the result; then no ids are kept or shuffled."""
+    cut = pieces(docs, tokenizer_path, id_col=id_col, text=text, capacity=capacity, end_id=end_id)
+    if instead_of_ids is not None:
+        cut = cut.withColumns(instead_of_ids).drop("ids")
+    return pack(materialize(cut, "packing-pieces"), capacity)
