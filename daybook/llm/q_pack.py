@@ -13,5 +13,5 @@ from daybook.sources.tables import read_table
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), instead_of_ids={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
