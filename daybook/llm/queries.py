@@ -1,6 +1,6 @@
 """All registered queries of the corpus operators."""
 
-from daybook.llm import q_license, q_mix, q_pack, q_simhash, q_toxicity, q_warc
+from daybook.llm import q_chat, q_license, q_mix, q_pack, q_simhash, q_toxicity, q_url, q_warc
 from daybook.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
