@@ -28,7 +28,8 @@ from daybook.session import materialize
 
 K = 10
 PIVOTS = 128
-SHARE = 0.15
+SAMPLE = 1024  # vectors that pivots are chosen from
+SHARE = 0.2
 LEAST = 512  # of a block's vectors that are ranked exactly, at least
 BLOCK = 8192
 QUERY_BLOCK = 2048
@@ -49,6 +50,21 @@ def places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """``count`` of the sample, in its order, that keep a quarter of the median distance from one another; a large group of
+    near copies so takes one place. If too few do, the first of the others fill up."""
+    if len(sample) <= count:
+        return sample
+    sq = (sample**2).sum(1)
+    far = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * sample @ sample.T, 0))
+    least, chosen = np.median(far) / 4, []
+    for i in range(len(sample)):
+        if len(chosen) < count and (far[i, chosen] >= least).all():
+            chosen.append(i)
+    rest = [i for i in range(len(sample)) if i not in set(chosen)]
+    return sample[chosen + rest[: count - len(chosen)]]
+
+
 def search_block(x: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, share: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the rows of its k nearest found in the block, and their distances."""
     files = np.ascontiguousarray(places(x, pivots).T)  # one row per pivot: its inverted file
@@ -87,8 +103,8 @@ def nearest(
     asked = cleaned(queries, "query_id").filter(F.size("vector") == size).distinct()
     asked = materialize(asked.withColumn("rep", F.min("query_id").over(Window.partitionBy("vector"))), "ann-asked")
     reps = asked.filter("rep = query_id").select("rep", "vector")
-    sample = entries.orderBy("_key").limit(pivots).select("vector").collect()  # `pivots` vectors
-    sample = np.array([r.vector for r in sample]).reshape(-1, max(size, 1))
+    sample = entries.orderBy("_key").limit(SAMPLE).select("vector").collect()  # SAMPLE vectors
+    sample = choose_pivots(np.array([r.vector for r in sample]).reshape(-1, max(size, 1)), pivots)
     n, m = max(1, -(-entries.count() // block)), max(1, -(-reps.count() // query_block))
 
     def every(count: int) -> Column:
