@@ -9,6 +9,9 @@ starts below them. c grows with the number of fingerprints, so that few share a
 Only components are asked for, so a node pair whose fingerprints are all known to be in one component is dropped
 too; a dense group of near copies costs about its size, not its square.
 
+More than one fingerprint per text (``seeds``) links texts that are near in any of them, for callers who want most pairs of
+a given similarity rather than one fixed rule.
+
 Defined cases: a NULL or empty text has fingerprint 0, linked like any other; fewer words than a shingle make one
 shingle; equal fingerprints are one node; a NULL id is never a component's id unless all ids of it are NULL; rows that
 repeat are kept; an empty table gives an empty result; further columns are ignored.
@@ -21,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.components import components
@@ -31,39 +34,44 @@ BUDGET = 4
 SHINGLE = 4
 GROUP = 8192  # fingerprints of one start in one task; larger groups are dealt out as pairs of parts
 START_LOAD = 64  # wanted fingerprints per start
+GROUPED = ["seed", "forest", "start", "part", "other"]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash; a bit is set if it is in over half of the shingles' hashes."""
+def fingerprint(text: str | None, shingle: int, seeds: int = 1) -> np.ndarray:
+    """64-bit SimHashes; a bit is set if it is in over half of the shingles' hashes. The first has the hashes as they are,
+    each further one mixes them anew."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return np.zeros(seeds, np.uint64)
     digest, flat = xxhash.xxh64_intdigest, b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.concatenate(([0], np.cumsum(size)))
     ends = start[min(shingle, len(words)) :][:n] - 1
-    count = np.zeros(64, np.int64)
+    count = np.zeros((seeds, 64), np.int64)
     for at in range(0, n, 65_536):
         a, b = start[at : min(at + 65_536, n)].tolist(), ends[at : at + 65_536].tolist()
         h = np.fromiter((digest(flat[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int((np.uint64(1) << np.nonzero(2 * count > n)[0].astype(np.uint64)).sum(dtype=np.uint64))
+        for k in range(seeds):
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(29)
+            count[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(2 * count > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seeds: int = 1) -> DataFrame:
+    """(doc_id, hash, fps): a hash of the text, and its fingerprints as signed longs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["_text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["_id"], "hash": b["_hash"], "fps": [fingerprint(t, shingle, seeds).view(np.int64) for t in b["_text"]]})
 
     kind = docs.schema[id_col].dataType
-    src = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"))
-    return src.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    src = docs.select(F.col(id_col).cast("string").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    return src.mapInPandas(run, "doc_id string, hash long, fps array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def blocks(count: int, budget: int = BUDGET) -> tuple[list[tuple[int, int]], int]:
@@ -164,25 +172,25 @@ def trie_links(fp: np.ndarray, path: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 
 
 def linked(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group, then path; gives (a, b): fingerprints joined to the first of their component there."""
+    """Rows sorted by group, then path; gives (a, b): nodes joined to the first of their component there."""
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
-        g = rows[["forest", "start", "part", "other"]].to_numpy()
+        g = rows[GROUPED].to_numpy()
         cut = np.concatenate(([0], np.nonzero((g[1:] != g[:-1]).any(1))[0] + 1, [len(g)]))
         lo, hi = cut[:-1], cut[1:]
         keep = hi - lo > 1
-        fp = rows["fp"].to_numpy()
+        fp, node = rows["fp"].to_numpy(), rows["node"].to_numpy()
         if not keep.any():
-            return pd.DataFrame({"a": fp[:0], "b": fp[:0]})
+            return pd.DataFrame({"a": node[:0], "b": node[:0]})
         label = trie_links(fp.view(np.uint64), rows["path"].to_numpy().view(np.uint64), lo[keep], hi[keep], rows["depth"].to_numpy()[lo[keep]], budget)
         i = np.nonzero(label != np.arange(len(label)))[0]
-        return pd.DataFrame({"a": fp[i], "b": fp[label[i]]})
+        return pd.DataFrame({"a": node[i], "b": node[label[i]]})
 
     held = None
     for b in batches:
         held = b if held is None else pd.concat([held, b], ignore_index=True)
         if len(held) >= 4 * GROUP:
-            g = held[["forest", "start", "part", "other"]].to_numpy()
+            g = held[GROUPED].to_numpy()
             last = np.nonzero((g != g[-1]).any(1))[0]
             if len(last):
                 yield done(held.iloc[: last[-1] + 1])
@@ -192,24 +200,47 @@ def linked(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFram
 
 
 def near_pairs(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(a, b) links of distinct fingerprints ``fp`` that have the same components as all pairs within the budget."""
-    cut, c = blocks(fps.count(), budget)
-    rows = fps.select("fp", F.inline(starts(F.col("fp"), cut, c)))
-    hot = rows.groupBy("forest", "start").count().filter(F.col("count") > GROUP).withColumn("parts", F.ceil(F.col("count") / GROUP).cast("int")).drop("count")
-    rows = rows.join(hot, ["forest", "start"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    """``fps``: seed, fp, node, distinct in (seed, fp). Gives (a, b), links of nodes that have the same components as all pairs
+    of one seed within the budget."""
+    most = fps.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
+    cut, c = blocks(most, budget)
+    rows = fps.select("seed", "fp", "node", F.inline(starts(F.col("fp"), cut, c)))
+    hot = rows.groupBy("seed", "forest", "start").count().filter(F.col("count") > GROUP).withColumn("parts", F.ceil(F.col("count") / GROUP).cast("int")).drop("count")
+    rows = rows.join(hot, ["seed", "forest", "start"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("_p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # a group in one part meets itself; of more parts, each pair of two meets
     rows = rows.withColumn("_o", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, parts - 1), x -> x <> _p)"))))
-    rows = rows.select("forest", "start", F.least("_p", "_o").alias("part"), F.greatest("_p", "_o").alias("other"), "depth", "path", "fp")
-    by = ["forest", "start", "part", "other"]
-    return rows.repartition(*by).sortWithinPartitions(*by, "path").mapInPandas(lambda b: linked(b, budget), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id): the least id reachable over fingerprints that differ in at most ``budget`` bits."""
-    rows = materialize(fingerprints(docs, id_col=id_col, text=text, shingle=shingle), "simhash")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(near_pairs(nodes.select("fp"), budget))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rows = rows.select("seed", "forest", "start", F.least("_p", "_o").alias("part"), F.greatest("_p", "_o").alias("other"), "depth", "path", "fp", "node")
+    return rows.repartition(*GROUPED).sortWithinPartitions(*GROUPED, "path").mapInPandas(lambda b: linked(b, budget), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, seeds: int = 1) -> DataFrame:
+    """(doc_id, hash, fp, group, component_id): component_id is the least id reachable over fingerprints that differ in at most
+    ``budget`` bits, group tells components apart even where ids don't."""
+    rows = fingerprints(docs, id_col=id_col, text=text, shingle=shingle, seeds=seeds)
+    rows = materialize(rows.withColumn("node", F.element_at("fps", 1) if seeds == 1 else F.xxhash64("fps")), "simhash")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fps").alias("fps")), "simhash-nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    if seeds == 1:
+        links = near_pairs(each, budget)
+    else:  # texts that agree in one fingerprint but not in all
+        same = materialize(each.groupBy("seed", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "simhash-same")
+        equal = each.withColumnRenamed("node", "a").join(same.filter("n > 1").withColumnRenamed("node", "b"), ["seed", "fp"]).select("a", "b")
+        links = near_pairs(same.drop("n"), budget).union(equal)
+    roots = components(links).withColumnRenamed("node", "_node")
+    nodes = nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", F.coalesce("root", "node").alias("group"), "least")
+    least = nodes.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rows.join(nodes.join(least, "group").select("node", "group", "component_id"), "node").select(
+        "doc_id", "hash", F.element_at("fps", 1).alias("fp"), "group", "component_id"
+    )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least id (NULL last), then the least text hash."""
+    found = near_duplicates(docs, id_col=id_col, text=text, **options)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id").alias("_first"), F.col("hash").alias("_hash"))).alias("k"))
+    kept = first.select("k._first", "k._hash").distinct()
+    rows = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
+    hit = rows.join(kept, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    once = hit.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))).filter("_n = 1")
+    return once.select("_row.*")

@@ -5,7 +5,7 @@ import xxhash
 
 from daybook.llm import simhash
 from daybook.llm.components import components
-from daybook.llm.simhash import blocks, near_duplicates, near_pairs
+from daybook.llm.simhash import blocks, near_duplicates, near_pairs, one_of_each
 
 
 def plain_fingerprint(text, k):
@@ -64,7 +64,7 @@ def dense(n, volatile, seed):
 
 
 def check_pairs(spark, fps):
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(0, int(x), int(x)) for x in fps.view(np.int64)], "seed int, fp long, node long")
     roots = {r.node: r.root for r in components(near_pairs(df)).collect()}
     s = fps.view(np.int64).tolist()
     comp = plain_components([int(x) for x in fps], 4)
@@ -89,3 +89,19 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(5, 5)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {**{i: 0 for i in range(1, 201)}, **{1001 + i: 1000 for i in range(300)}}
+
+
+def test_one_of_each(spark):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rnd.choices(words, k=400)) for _ in range(12)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:6]):
+        w = t.split()
+        w[50] = "other"
+        rows += [(100 + i, " ".join(w), "s"), (200 + i, t, "s"), (i, t, "s")]
+    rows += [(300, None, "n"), (301, "", None), (None, texts[0], "s"), (None, "alone without an id here", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
+    got = one_of_each(df, shingle=5, seeds=8)
+    assert got.columns == df.columns
+    assert sorted(got.collect(), key=str) == sorted([*df.collect()[:12], df.collect()[30], df.collect()[33]], key=str)
