@@ -3,9 +3,9 @@
 Writing: pages whose payload an earlier page has become revisit records. A record's block is an HTTP response with a
 chunked body; a block beyond ``segment_bytes`` is continued in further records, each with the origin's id and its
 number, the last with the length of the whole block. Files are written by Spark's text writer whose line separator is
-the end of a record, so they go to any file system that Spark knows, and a lost task is written anew.
+the end of a record, so they go to any file system that Spark knows, and a lost task is written anew. Each file is compressed as one.
 
-Reading: each file is cut at the lengths its records state. Records of one segment are decoded where they are read;
+Reading: each file, compressed or not, is cut at the lengths its records state. Records of one segment are decoded where they are read;
 continued ones are grouped by origin, ordered by number, checked against the total length and decoded.
 
 Defined cases: a NULL payload is empty; a NULL page_id is written without the header and read as NULL, and is never the
@@ -114,11 +114,15 @@ def write_archive(
     ids = known.select(F.col("page_id").cast("string"), "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", F.col("refers_to").cast("string"))
     out = ids.mapInPandas(run, "record binary")
     # the cast keeps the bytes as they are
-    out.select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, block) of each record; the block is None if the file ends within it."""
+    if content[:2] == b"\x1f\x8b":
+        import gzip
+
+        content = gzip.decompress(content)
     at, size = 0, len(content)
     while at < size:
         end = content.find(b"\r\n\r\n", at)
