@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from daybook.session import materialize
 
-SIZES = (3, 4, 5)
-BITS = 18
+SIZES = (4, 5, 6, 7)
+BITS = 21
 MAX_ROWS = 20_000
-FEATURES = 8192
+FEATURES = 16_384
 SMOOTH = 1.0
 THRESHOLD = 0.7
 
@@ -71,12 +71,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
 
 def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(feature, ones, zeros): in how many texts of a task each n-gram is, by label."""
-    n, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)
+    n = np.zeros((2, 1 << BITS), np.int32)
     for b in batches:
         for y, t in zip(b["y"], b["text"], strict=True):
-            seen[:] = False
-            seen[grams(t)] = True
-            n[y] += seen
+            n[y, np.unique(grams(t))] += 1
     f = np.nonzero(n.any(0))[0]
     yield pd.DataFrame({"feature": f, "ones": n[1, f], "zeros": n[0, f]})
 
