@@ -2,9 +2,11 @@
 
 A plain ``Window.partitionBy(group).orderBy(value)`` puts a whole group into one task. Here a
 group is first reduced to its distinct values (map-side combine, so a hot value is one row).
-A group that still has many distinct values is cut into order-preserving buckets. Running
-totals are taken over the bucket totals (few rows) and inside each bucket; both steps are
-small windows, results are exact.
+Those are cut into runs at the distinct values whose hash falls on a fixed residue: about one in
+``RUN_VALUES`` of them, wherever they lie, so runs are even for every distribution, and small
+groups are one run. The cuts depend on the values only, so tasks that are run again agree.
+Running totals are taken over the run totals (few rows) and inside each run; both steps are
+small windows, results are exact. NaN sorts after every number, as in Spark.
 """
 
 from __future__ import annotations
@@ -14,18 +16,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: buckets per power of two of the magnitude; distinct values a group may sort in
-# one task before it is cut
-BINS_PER_OCTAVE = 4096
-WHOLE_GROUP_VALUES = 200_000
-_SHIFT = 1080 * BINS_PER_OCTAVE
+RUN_VALUES = 4096
 
 
-def order_bucket(value: Column) -> Column:
-    """Monotone bucket of a number; depends on the value only, so retries agree."""
-    v = value.cast("double")
-    size = F.floor(F.log2(F.abs(v)) * F.lit(float(BINS_PER_OCTAVE))) + F.lit(_SHIFT)
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+def _run(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are not above ``value``, by binary search."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.get(cuts, mid) <= value
+        done = s["lo"] >= s["hi"]
+        return F.struct(
+            F.when(~done & up, mid + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(~done & ~up, mid).otherwise(s["hi"]).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(cuts))).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve)
+    return F.when(F.size(cuts) == 0, F.lit(0)).otherwise(found["lo"]).cast("long")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
@@ -39,20 +46,18 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
 
 
 def _cut(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
-    """Add ``total_<s>`` of the group and ``_bucket``: 0 for groups with few distinct values,
-    else the value's bucket.
+    """Add ``total_<s>`` of the group and ``_bucket``, the value's run.
 
-    Group sizes are one small aggregate; how many groups there are decides at run time
+    Totals and cuts are one small aggregate; how many groups there are decides at run time
     whether they are broadcast. All branches read the same columns of ``counts``, so its
     shuffle is done once and reused.
     """
+    cut = F.pmod(F.xxhash64(value), F.lit(RUN_VALUES)) == 0
     size = counts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_k"), *[F.sum(s).alias(f"total_{s}") for s in sums]
+        F.sort_array(F.collect_list(F.when(cut, F.col(value)))).alias("_cuts"), *[F.sum(s).alias(f"total_{s}") for s in sums]
     )
     sized = counts.join(size, list(keys)) if keys else counts.crossJoin(F.broadcast(size))  # one row
-    small = F.col("_k") <= WHOLE_GROUP_VALUES
-    bucket = F.when(small, F.lit(0).cast("long")).otherwise(order_bucket(F.col(value)))
-    return sized.withColumn("_bucket", bucket).drop("_k")
+    return sized.withColumn("_bucket", _run(F.col("_cuts"), F.col(value))).drop("_cuts")
 
 
 def _bases(cut: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:

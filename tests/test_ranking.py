@@ -7,10 +7,10 @@ import pytest
 from daybook.functions import ranking as rk
 
 
-@pytest.fixture(params=[200_000, 0], ids=["whole", "bucketed"])
+@pytest.fixture(params=[4096, 3, 1], ids=["whole", "runs", "single"])
 def path(request, monkeypatch):
-    """Both ways through: small groups in one window, and every group cut into buckets."""
-    monkeypatch.setattr(rk, "WHOLE_GROUP_VALUES", request.param)
+    """Groups in one run, in runs of about three values, and with a run for each value."""
+    monkeypatch.setattr(rk, "RUN_VALUES", request.param)
 
 
 def sample(spark):
@@ -61,8 +61,30 @@ def test_order_positions_split_ties(spark, path):
         assert set(g["p_n"]) == {len(g)}
 
 
-def test_bucket_is_monotone(spark):
-    vals = sorted([-1e308, -3.0, -1e-300, -5e-324, 0.0, 5e-324, 1e-12, 1.0, 1.0000001, 2.0, 1e308])
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    b = [r[0] for r in df.orderBy("v").select(rk.order_bucket(df.v)).collect()]
-    assert b == sorted(b)
+def test_run_counts_cuts_at_or_below(spark):
+    v = [-5.0, -1.0, 0.0, 2.0, 2.5, 9.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(x, c) for x in v for c in ([], [0.0], [-1.0, 2.0, 9.0], sorted(v[:7]))], "v double, c array<double>")
+    for r in df.withColumn("r", rk._run(rk.F.col("c"), rk.F.col("v"))).collect():
+        assert r.r == sum(x <= r.v or r.v != r.v for x in r.c)
+
+
+def test_special_values_and_narrow_bands(spark, path):
+    nan, inf = float("nan"), float("inf")
+    rows = [("s", v) for v in (1.0, nan, -inf, inf, 1.0, -2.0, nan, 0.0, -0.0)]
+    rows += [("t", 1.7e15 + 0.25 * (i % 500)) for i in range(700)] + [("u", 5e-324 * i) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, repr(r.v + 0.0)): r.r for r in rk.average_ranks(df, ["g"], "v", "r").collect()}
+    for g in "stu":
+        v = pd.Series([x for k, x in rows if k == g])
+        order = v.map(lambda x: (x != x, x if x == x else 0.0))  # NaN last
+        rank = order.rank() if g != "s" else pd.Series([sorted(order).index(x) + (list(order).count(x) + 1) / 2 for x in order])
+        assert all(got[g, repr(x + 0.0)] == r for x, r in zip(v, rank, strict=True))
+
+
+def test_runs_are_even(spark):
+    """200,000 distinct values in a narrow band: no run holds more than a small part of them."""
+    df = spark.range(200_000).selectExpr("'a' g", "1.7e15D + id * 0.25D v")
+    cut = rk._cut(rk.value_counts(df, ["g"], "v"), ["g"], "v", ["n"])
+    assert cut.groupBy("_bucket").count().agg({"count": "max"}).first()[0] < 40_000
+    r = rk.average_ranks(df, ["g"], "v", "r").selectExpr("max(abs(r - ((v - 1.7e15D) / 0.25D + 1))) e", "count(*) n").first()
+    assert (r.e, r.n) == (0.0, 200_000)
