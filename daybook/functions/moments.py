@@ -6,22 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pair_sums(x: Column, y: Column, prefix: str = "") -> list[Column]:
-    """Six sums over the rows where both are present."""
+def pair_correlation(x: Column, y: Column) -> Column:
+    """Pearson over the rows where both are present; NULL when a side is constant, up to the rounding of its mean.
+    Spark's aggregates keep centred moments, so a large offset costs no digits."""
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    return [
-        F.count(F.when(both, 1)).alias(f"{prefix}n"),
-        F.sum(xs).alias(f"{prefix}sx"),
-        F.sum(ys).alias(f"{prefix}sy"),
-        F.sum(xs * xs).alias(f"{prefix}sxx"),
-        F.sum(ys * ys).alias(f"{prefix}syy"),
-        F.sum(xs * ys).alias(f"{prefix}sxy"),
-    ]
+    sx, sy = F.stddev_pop(xs), F.stddev_pop(ys)
+    live = (sx > 1e-13 * F.abs(F.avg(xs))) & (sy > 1e-13 * F.abs(F.avg(ys)))
+    return F.when(live, F.covar_pop(xs, ys) / F.nullif(sx * sy, F.lit(0.0)))
+
+
+def pair_count(x: Column, y: Column) -> Column:
+    return F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
 
 
 def pearson(prefix: str = "", tiny: float = 1e-12) -> Column:
-    """Correlation from ``pair_sums``; NULL when a side is constant."""
+    """Correlation from pair sums of values near zero; NULL when a side is constant."""
     n, sx, sy, sxx, syy, sxy = (F.col(f"{prefix}{k}") for k in ("n", "sx", "sy", "sxx", "syy", "sxy"))
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
     live = (vx > tiny * F.greatest(n * sxx, F.lit(1e-300))) & (vy > tiny * F.greatest(n * syy, F.lit(1e-300)))

@@ -168,12 +168,13 @@ def order_positions(df: DataFrame, keys: Sequence[str], by: Sequence[str], name:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Per group: ``n``, ``pearson`` and ``spearman`` over complete pairs.
 
-    Equal pairs are merged first, ranks come from the merged counts, and the correlation is
+    Equal pairs are merged first, ranks come from the merged counts, and their correlation is
     read off moment sums; a constant side gives NULL for pearson and 0 for spearman.
     """
-    from daybook.functions.moments import weighted_pair_sums, weighted_pearson
+    from daybook.functions.moments import pair_correlation, weighted_pair_sums, weighted_pearson
 
     keys = list(keys)
+    plain = df.groupBy(*keys).agg(pair_correlation(F.col(x), F.col(y)).alias("pearson"))
     pairs = (
         df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
@@ -187,13 +188,11 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
     ranked = pairs.join(ranks("_x", "_rx"), [*keys, "_x"]).join(ranks("_y", "_ry"), [*keys, "_y"])
     c = F.col("_c").cast("double")
-    sums = weighted_pair_sums(F.col("_x"), F.col("_y"), c, "p_") + weighted_pair_sums(
-        F.col("_rx"), F.col("_ry"), c, "r_"
-    )
-    out = ranked.groupBy(*keys).agg(*sums)
+    out = ranked.groupBy(*keys).agg(*weighted_pair_sums(F.col("_rx"), F.col("_ry"), c, "r_"))
+    out = out.join(plain, keys) if keys else out.crossJoin(F.broadcast(plain))  # one row
     return out.select(
         *keys,
-        F.col("p_n").cast("long").alias("n"),
-        weighted_pearson("p_").alias("pearson"),
+        F.col("r_n").cast("long").alias("n"),
+        "pearson",
         F.coalesce(weighted_pearson("r_"), F.lit(0.0)).alias("spearman"),
     )

@@ -11,12 +11,18 @@ from pyspark.sql import types as T
 from daybook.functions.exprs import flag, nan_to_null
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Last write wins per key, nothing is deleted. One aggregate over both tables."""
+def upsert(target: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last write wins per key, nothing is deleted. One aggregate over both tables.
+
+    ``order``: columns of the batch that say which of several rows of a key was written last; rows that
+    tie in them are decided by their values, so that runs agree. ``target`` has one row per key.
+    """
     cols = target.columns
     rest = [c for c in cols if c not in key]
-    both = target.withColumn("_b", F.lit(0)).unionByName(batch.select(*cols).withColumn("_b", F.lit(1)))
-    top = both.groupBy(*key).agg(F.max(F.struct("_b", *rest)).alias("_m"))
+    old = target.select(*cols, F.lit(0).alias("_b"), *[F.lit(None).cast(batch.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)])
+    new = batch.select(*cols, F.lit(1).alias("_b"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    at = F.struct("_b", *[f"_o{i}" for i in range(len(order))], *rest)
+    top = old.unionByName(new).groupBy(*key).agg(F.max(at).alias("_m"))
     return top.select(*key, *[F.col(f"_m.{c}").alias(c) for c in rest]).select(*cols)
 
 

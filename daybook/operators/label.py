@@ -16,10 +16,10 @@ def _next_row(reports: DataFrame, rows: DataFrame, entity: str, at: str, day: st
 
     Both sides are laid out on one descending time line, so each report only needs the last
     row seen so far: a growing frame, no inequality join. An entity's line holds one row per
-    calendar day and report, whatever the size of the raw data.
+    calendar day and report, whatever the size of the raw data. A NULL date has no later row.
     """
     r = reports.withColumn("_t", F.col(at)).withColumn("_is_row", F.lit(0))
-    p = rows.select(entity, F.col(day).alias("_t"), F.lit(1).alias("_is_row"), payload.alias("_hit"))
+    p = rows.filter(F.col(day).isNotNull()).select(entity, F.col(day).alias("_t"), F.lit(1).alias("_is_row"), payload.alias("_hit"))
     both = r.unionByName(p, allowMissingColumns=True)
     w = (
         Window.partitionBy(entity)
@@ -27,7 +27,7 @@ def _next_row(reports: DataFrame, rows: DataFrame, entity: str, at: str, day: st
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w))
+        both.withColumn("_hit", F.when(F.col("_t").isNotNull(), F.last("_hit", ignorenulls=True).over(w)))
         .filter(F.col("_is_row") == 0)
         .drop("_t", "_is_row")
     )
@@ -61,12 +61,13 @@ def price_windows(prices: DataFrame, n: int = WINDOW_ROWS, entity: str = "entity
 def forward_labels(reports: DataFrame, prices: DataFrame, n: int = WINDOW_ROWS, rf: float = RISK_FREE_ANNUAL, entity: str = "entity", release: str = "release_date", day: str = "d", close: str = "adjusted_close") -> DataFrame:
     """Return, volatility and Sharpe over rows t+1 .. t+n after each release.
 
-    Reports of entities without any price row are left out, as they have no calendar.
+    Reports of entities without any price row are left out, as they have no calendar, and so are
+    reports without a release date.
     """
     stats = price_windows(prices, n, entity, day, close)
     names = [c for c in stats.columns if c != entity]
     payload = F.struct(*[F.col(c) for c in names])
-    known = reports.join(prices.select(entity).distinct(), entity, "left_semi")
+    known = reports.filter(F.col(release).isNotNull()).join(prices.select(entity).distinct(), entity, "left_semi")
     hit = _next_row(known, stats, entity, release, day, payload)
     got = {c: F.col(f"_hit.{c}") for c in names}
     full = F.coalesce(got["n_rows"], F.lit(0)) >= n

@@ -43,23 +43,33 @@ SECTIONS = list(TITLES)
 
 
 class _Text(HTMLParser):
-    """Text nodes outside script and style."""
+    """Text nodes outside script and style. A node ends at a tag or comment; the parser may hand it over in pieces."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self._node: list[str] = []
         self._skip = 0
 
+    def end_node(self, *_) -> None:
+        if self._node:
+            self.parts.append("".join(self._node))
+            self._node = []
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = end_node
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        self.end_node()
         self._skip += tag in ("script", "style")
 
     def handle_endtag(self, tag: str) -> None:
+        self.end_node()
         if tag in ("script", "style") and self._skip:
             self._skip -= 1
 
     def handle_data(self, data: str) -> None:
         if not self._skip:
-            self.parts.append(data)
+            self._node.append(data)
 
 
 def _nodes(html: str | None) -> str | None:
@@ -68,6 +78,7 @@ def _nodes(html: str | None) -> str | None:
     p = _Text()
     p.feed(html)
     p.close()
+    p.end_node()
     return "\n".join(p.parts)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.exprs import flag
-from daybook.functions.moments import corrected_kurtosis, corrected_skew, pair_sums, pearson
+from daybook.functions.moments import corrected_kurtosis, corrected_skew, pair_correlation, pair_count, pearson
 from daybook.functions.ranking import quantiles, spearman
 
 # fixed values
@@ -76,11 +76,11 @@ def raw_vs_clipped_skew(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 _GRAM = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def _gram_of(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.DataFrame]:
+def _gram_of(batches: Iterator[pd.DataFrame], complete: bool, center: np.ndarray) -> Iterator[pd.DataFrame]:
     """Pair sums of one partition; a k x k block leaves the task, however many rows it saw."""
     acc = None
     for b in batches:
-        x = b.to_numpy(dtype="float64", na_value=np.nan)
+        x = b.to_numpy(dtype="float64", na_value=np.nan) - center
         if complete:
             x = x[~np.isnan(x).any(axis=1)]
         m = (~np.isnan(x)).astype("float64")
@@ -97,10 +97,11 @@ def _gram_of(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.Dat
 
 
 def pair_sum_table(df: DataFrame, cols: Sequence[str], complete: bool = False) -> DataFrame:
-    """(i, j) pair sums of all column pairs in one pass over the data."""
-    part = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
-        lambda it: _gram_of(it, complete), _GRAM
-    )
+    """(i, j) pair sums of all column pairs, each column less its mean, which comes from one row of means."""
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = wide.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in cols]).first()
+    center = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    part = wide.mapInPandas(lambda it: _gram_of(it, complete, center), _GRAM)
     return part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
@@ -192,8 +193,9 @@ def grouped_summary(df: DataFrame, by: str, y: str) -> DataFrame:
 def lag1_autocorr(df: DataFrame, y: str, by: str = "frequency", entity: str = "entity", at: str = "report_date", min_pairs: int = MIN_PAIRS) -> DataFrame:
     w = Window.partitionBy(entity, by).orderBy(at)
     pairs = df.select(by, F.lag(y).over(w).alias("a"), F.col(y).alias("b"))
-    out = pairs.groupBy(by).agg(*pair_sums(F.col("a"), F.col("b")))
-    return out.filter(F.col("n") >= min_pairs).select(by, F.col("n").alias("n_pairs"), pearson().alias("lag1_pearson"))
+    a, b = F.col("a"), F.col("b")
+    out = pairs.groupBy(by).agg(pair_count(a, b).alias("n_pairs"), pair_correlation(a, b).alias("lag1_pearson"))
+    return out.filter(F.col("n_pairs") >= min_pairs)
 
 
 def observed_caps(df: DataFrame, cols: Sequence[str]) -> DataFrame:

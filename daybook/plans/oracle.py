@@ -112,7 +112,7 @@ cte(
 )
 cte(
     "f5s",
-    """select o_custkey % 100 entity, cast(o_orderdate as date) score_date, max((o_orderkey % 5) / cast(4.0 as double)) score,
+    """select o_custkey % (select count(*) from supplier) entity, cast(o_orderdate as date) score_date, max((o_orderkey % 5) / cast(4.0 as double)) score,
   max(case when o_orderstatus='F' then 'primary' else 'secondary' end) source
 from orders group by 1, 2""",
 )

@@ -43,16 +43,16 @@ def s1(s, d):
 @query(
     "s2_union_entities",
     sql("""select accession, entity, form, case when accession % 50 <> 0 then filed end filed,
- case when accession % 2 = 0 then 'current' else 'legacy' end filing_id from fil where accession % 2 = 0 or accession % 3 = 0""", "fil"),
+ case when accession % 2 = 0 or accession % 3 <> 0 then 'current' else 'legacy' end filing_id from fil""", "fil"),
 )
 def s2(s, d):
     t = _filing_texts(s, d)
-    parts = {"current": t.filter("accession % 2 = 0"), "legacy": t.filter("accession % 3 = 0")}
+    parts = {"current": t.filter("accession % 2 = 0 or accession % 3 <> 0"), "legacy": t.filter("accession % 3 = 0")}
     return fl.union_entities(parts).select("accession", "entity", "form", "filed", "filing_id")
 
 
 def fact_documents(s, d):
-    """One nested fact document per candidate fact."""
+    """One nested fact document per filing, with its concepts, units and facts; every 50th is cut short."""
     f = fx.candidates(s, d)
     fact = F.struct(
         F.col("value").alias("val"), F.col("start_date").cast("string").alias("start"), F.col("end_date").cast("string").alias("end"),
@@ -60,24 +60,32 @@ def fact_documents(s, d):
         F.col("accession").cast("string").alias("accn"),
     )
     unit = F.when(F.col("source") == "companyfacts", "USD").otherwise("EUR")
-    block = F.struct(F.concat(F.lit("Label "), F.col("position")).alias("label"), F.create_map(unit, F.array(fact)).alias("units"))
-    doc = F.to_json(F.create_map(F.lit("us-gaap"), F.create_map(F.col("position"), block)))
-    return f.select("accession", "line_no", doc.alias("doc"))
+    facts = f.groupBy("accession", "position", unit.alias("unit")).agg(F.collect_list(fact).alias("facts"))
+    units = facts.groupBy("accession", "position").agg(F.map_from_entries(F.collect_list(F.struct("unit", "facts"))).alias("units"))
+    block = F.struct(F.concat(F.lit("Label "), F.col("position")).alias("label"), "units")
+    whole = units.groupBy("accession").agg(F.map_from_entries(F.collect_list(F.struct("position", block))).alias("concepts"))
+    doc = F.to_json(F.create_map(F.lit("us-gaap"), F.col("concepts")))
+    return whole.select("accession", F.when(F.col("accession") % 50 == 0, F.substring(doc, 1, 40)).otherwise(doc).alias("doc"))
 
 
 @query(
     "s3_flatten_facts",
-    sql("""select accession, line_no, 'us-gaap' taxonomy, position as concept, 'Label ' || position as label,
+    sql("""select accession, 'us-gaap' taxonomy, position as concept, 'Label ' || position as label,
  case when source = 'companyfacts' then 'USD' else 'EUR' end unit, round(value,6) val, cast(start_date as varchar) as "start",
- cast(end_date as varchar) as "end", cast(year(end_date) as int) fy, form, cast(accession as varchar) accn from f4""", "f4"),
+ cast(end_date as varchar) as "end", cast(year(end_date) as int) fy, form, cast(accession as varchar) accn from f4 where accession % 50 <> 0""", "f4"),
 )
 def s3(s, d):
     out = fl.flatten_facts(fact_documents(s, d), "doc")
     return out.select(
-        "accession", "line_no", "taxonomy", "concept", "label", "unit", r6("val").alias("val"), "start", "end", "fy", "form", "accn"
+        "accession", "taxonomy", "concept", "label", "unit", r6("val").alias("val"), "start", "end", "fy", "form", "accn"
     )
 
 
+@query("s3_unreadable_documents", sql("select distinct accession from f4 where accession % 50 = 0", "f4"))
+def s3_unreadable(s, d):
+    return fl.unreadable_documents(fact_documents(s, d), "doc").select("accession")
+
+
 # fixed values
 CONCEPTS = [("revenue", "A", 1), ("revenue", "N", 2), ("net_income", "R", 1), ("net_income", "N", 2)]
 
@@ -265,8 +273,8 @@ LABELS = {
 
 
 def statement_matrix(s, d):
-    """Quarterly reports as statements: one row per (entity, year, label), a column per quarter."""
-    f = fx.facts_wide(s, d).filter("form = 'quarterly'")
+    """Reports as statements: one row per (entity, form, year, label), a column per quarter."""
+    f = fx.facts_wide(s, d)
     lab = F.explode(
         F.array(
             F.struct(F.lit("total  REVENUE").alias("label"), F.when(F.year("period_end") % 2 == 0, F.col("revenue")).alias("v")),
@@ -276,8 +284,8 @@ def statement_matrix(s, d):
             F.struct(F.lit("Unrelated").alias("label"), F.col("inventory").alias("v")),
         )
     )
-    long = f.select("entity", F.year("period_end").alias("y"), F.quarter("period_end").alias("q"), lab.alias("x")).select("entity", "y", "q", "x.*")
-    return long.groupBy("entity", "y", "label").agg(
+    long = f.select("entity", "form", F.year("period_end").alias("y"), F.quarter("period_end").alias("q"), lab.alias("x")).select("entity", "form", "y", "q", "x.*")
+    return long.groupBy("entity", "form", "y", "label").agg(
         *[F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in (1, 2, 3, 4)],
         *[F.max(F.col("q") == i).alias(f"has{i}") for i in (1, 2, 3, 4)],
     )
@@ -285,16 +293,16 @@ def statement_matrix(s, d):
 
 @query(
     "s12_unpivot_statements",
-    sql("""select entity, period_end, p as position, round(coalesce(v, 0),6) as value, case when v is null then 'missing' else 'selected' end selection_status from (
- select entity, period_end, 'revenue' p, case when year(period_end) % 2 = 0 then revenue else -revenue end v from f1 where form = 'quarterly'
- union all select entity, period_end, 'cash_and_cash_equivalents', cash_and_cash_equivalents from f1 where form = 'quarterly'
- union all select entity, period_end, 'total_debt', total_debt from f1 where form = 'quarterly')""", "f1"),
+    sql("""select entity, form, period_end, p as position, round(coalesce(v, 0),6) as value, case when v is null then 'missing' else 'selected' end selection_status from (
+ select entity, form, period_end, 'revenue' p, case when year(period_end) % 2 = 0 then revenue else -revenue end v from f1
+ union all select entity, form, period_end, 'cash_and_cash_equivalents', cash_and_cash_equivalents from f1
+ union all select entity, form, period_end, 'total_debt', total_debt from f1)""", "f1"),
 )
 def s12(s, d):
     m = statement_matrix(s, d)
     cols = {f"q{i}": F.when(F.col(f"has{i}"), F.last_day(F.make_date("y", F.lit(3 * i), F.lit(1)))) for i in (1, 2, 3, 4)}
-    out = mk.unpivot_statements(m, ["entity"], cols, LABELS)
-    return out.select("entity", "period_end", "position", r6("value").alias("value"), "selection_status")
+    out = mk.unpivot_statements(m, ["entity", "form"], cols, LABELS)
+    return out.select("entity", "form", "period_end", "position", r6("value").alias("value"), "selection_status")
 
 
 @query(
@@ -341,8 +349,11 @@ def s16(s, d):
 )
 def s17(s, d):
     f = fx.facts_long(s, d).select(*FKEY, "sector", "value")
-    batch = f.filter("sector >= 2").withColumn("value", F.col("value") * 2)
-    out = ingest.upsert(f.filter("sector <= 3"), batch, FKEY)
+    # each key is written twice; the second value is the smaller one for half of them
+    first = F.when(F.col("entity") % 2 == 0, F.abs("value") * 9 + 1).otherwise(-F.abs("value") * 9 - 1)
+    twice = F.array(F.struct(F.lit(1).alias("seq"), first.alias("v")), F.struct(F.lit(2).alias("seq"), (F.col("value") * 2).alias("v")))
+    batch = f.filter("sector >= 2").withColumn("w", F.explode(twice)).select(*FKEY, "sector", F.col("w.v").alias("value"), F.col("w.seq").alias("seq"))
+    out = ingest.upsert(f.filter("sector <= 3"), batch, FKEY, ["seq"])
     return out.select(*FKEY, F.round("value", 6).alias("value"))
 
 

@@ -52,7 +52,7 @@ label_cte("labr", "lrep", "entity, release_date, period_end, source")
 
 
 def month_labels(s, d):
-    return stage(s, d, "month_labels", lambda: L.forward_labels(fx.ship_month_reports(s, d), fx.prices(s, d)))
+    return stage(s, d, "month_labels", lambda: L.forward_labels(reports_and_unreleased(s, d), fx.prices(s, d)))
 
 
 def report_labels(s, d):
@@ -77,9 +77,15 @@ query(
 )(flagship)
 
 
-@query("t1_first_row_after", sql("select entity, release_date, t1_date from lab", "lab"))
+def reports_and_unreleased(s, d):
+    """Also one report per entity that has not been released."""
+    r = fx.ship_month_reports(s, d).select("entity", "release_date")
+    return r.unionByName(r.select("entity").distinct().withColumn("release_date", F.lit(None).cast("date")))
+
+
+@query("t1_first_row_after", sql("select entity, release_date, t1_date from lab union all select distinct entity, null, null from rep", "lab", "rep"))
 def t1(s, d):
-    return L.first_row_after(fx.ship_month_reports(s, d), fx.prices(s, d))
+    return L.first_row_after(reports_and_unreleased(s, d), fx.prices(s, d))
 
 
 @query(

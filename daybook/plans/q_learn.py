@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daybook.functions.exprs import r6
-from daybook.functions.moments import pair_sums, pearson
+from daybook.functions.moments import pair_correlation
 from daybook.operators import kpi
 from daybook.operators import metrics as mt
 from daybook.operators import prep
@@ -241,8 +241,8 @@ def l21(s, d):
 def importances(s, d):
     """Feature importance per 'model': absolute correlation with the label per frequency."""
     long = eligible(s, d).unpivot(["frequency", "sharpe"], LEVEL + CHANGES, "feature", "x")
-    g = long.groupBy("frequency", "feature").agg(*pair_sums(F.col("x"), F.col("sharpe")))
-    imp = F.round(F.abs(pearson()), 8)
+    g = long.groupBy("frequency", "feature").agg(pair_correlation(F.col("x"), F.col("sharpe")).alias("r"))
+    imp = F.round(F.abs("r"), 8)
     return g.select(F.col("frequency").alias("model"), "feature", imp.alias("importance")).filter("importance is not null")
 
 

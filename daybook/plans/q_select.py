@@ -234,28 +234,25 @@ def p11(s, d):
     return matched(s, d)
 
 
-_DEBT = "('short_term_debt','long_term_debt','total_debt')"
 
 
 @query(
     "p12_drop_empty_periods",
-    sql(f"""select entity, form, period_end, position, selection_status from f1l f where position in {_DEBT} and
- (entity, form, period_end) in (select (entity, form, period_end) from f1l where position in {_DEBT} and selection_status <> 'missing')""", "f1l"),
+    sql("""select entity, form, period_end, position, selection_status from f1l f where
+ (entity, form, period_end) in (select (entity, form, period_end) from f1l where selection_status <> 'missing')""", "f1l"),
 )
 def p12(s, d):
-    rows = fx.facts_long(s, d).filter(f"position in {_DEBT}")
-    return mk.drop_empty_periods(rows, ["entity", "form", "period_end"]).select("entity", "form", "period_end", "position", "selection_status")
+    return mk.drop_empty_periods(fx.facts_long(s, d), ["entity", "form", "period_end"]).select("entity", "form", "period_end", "position", "selection_status")
 
 
 @query(
     "p13_duration_from_prior",
     sql("""select entity, form, period_end, dd duration_days, period_end - dd start_date from (
  select *, cast(coalesce(period_end - lag(period_end) over (partition by entity, form order by period_end), case when form = 'annual' then 365 else 92 end) as int) dd
- from f1 where short_term_debt is not null or long_term_debt is not null or total_debt is not null)""", "f1"),
+ from (select distinct entity, form, period_end from f1l where selection_status <> 'missing'))""", "f1l"),
 )
 def p13(s, d):
-    rows = fx.facts_long(s, d).filter(f"position in {_DEBT}")
-    kept = mk.drop_empty_periods(rows, ["entity", "form", "period_end"]).select("entity", "form", "period_end").distinct()
+    kept = mk.drop_empty_periods(fx.facts_long(s, d), ["entity", "form", "period_end"]).select("entity", "form", "period_end").distinct()
     return mk.duration_from_prior(kept)
 
 

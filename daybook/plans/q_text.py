@@ -96,13 +96,18 @@ def q1b(s, d):
     return out.select("page_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+DISCUSSED = [form for form, m in sx.MARKERS.items() if "discussion" in m]
+
+
 @query(
     "q2_longest_section",
-    sql("""select doc_id, length(discussion) n_chars, md5(discussion) digest from secs where form = 'annual'""", "secs"),
+    sql(f"""select doc_id, length(discussion) n_chars, md5(discussion) digest from secs where form in ({', '.join(f"'{f}'" for f in DISCUSSED)})""", "secs"),
 )
 def q2(s, d):
-    m = sx.MARKERS["annual"]["discussion"]
-    own = plain(s, d).filter("form = 'annual'").withColumn("m", sx.longest_section(F.col("text"), *m))
+    own = None
+    for form in DISCUSSED:
+        one = plain(s, d).filter(F.col("form") == form).withColumn("m", sx.longest_section(F.col("text"), *sx.MARKERS[form]["discussion"]))
+        own = one if own is None else own.unionByName(one)
     return own.select("doc_id", F.length("m.section").cast("long").alias("n_chars"), F.md5(F.col("m.section").cast("binary")).alias("digest"))
 
 
@@ -213,19 +218,21 @@ def q6(s, d):
 
 @query(
     "q7_parse_score",
-    sql("""select conv_id, turn, cast(case turn % 5 when 0 then 1 + conv_id % 5 when 1 then 2 when 2 then 1 + conv_id % 5 when 3 then null else 4 end as int) score
- from conversations"""),
+    sql(r"""select conv_id, turn, cast(coalesce(list_filter(list_transform(string_split_regex(t, '\r?\n'), lambda x: trim(x)), lambda x: regexp_full_match(x, '[1-5]'))[-1],
+  nullif(regexp_extract(t, '(?:^|[^\pL\pN_])([1-5])(?:$|[^\pL\pN_])', 1), '')) as int) score
+ from (select conv_id, turn, trim(regexp_replace(case turn % 5 when 0 then '<think>' || text || ' 3</think>' || chr(10) || chr(10) || (1 + conv_id % 5)
+  when 1 then text || chr(10) || '5' || chr(10) || 'because' || chr(10) || '2' || chr(10) || 'of it' when 2 then text || ' so ' || (1 + conv_id % 5) || ' it is, not 5'
+  when 3 then text || chr(10) || '7' else ' 4 ' end, '(?is)<think>.*?</think>', '', 'g')) t from conversations)"""),
 )
 def q7(s, d):
     c = read_table(s, d, "conversations")
-    clean = F.regexp_replace("text", "[0-9]", "")
     digit = (1 + F.col("conv_id") % 5).cast("string")
     kind = F.col("turn") % 5
     raw = (
-        F.when(kind == 0, F.concat(F.lit("<think>"), clean, F.lit(" 3</think>\n\n"), digit))
-        .when(kind == 1, F.concat(clean, F.lit("\n5\nbecause\n2\nof it")))
-        .when(kind == 2, F.concat(clean, F.lit(" so "), digit, F.lit(" it is, not 5")))
-        .when(kind == 3, F.concat(clean, F.lit("\n7")))
+        F.when(kind == 0, F.concat(F.lit("<think>"), F.col("text"), F.lit(" 3</think>\n\n"), digit))
+        .when(kind == 1, F.concat("text", F.lit("\n5\nbecause\n2\nof it")))
+        .when(kind == 2, F.concat("text", F.lit(" so "), digit, F.lit(" it is, not 5")))
+        .when(kind == 3, F.concat("text", F.lit("\n7")))
         .otherwise(F.lit(" 4 "))
     )
     return c.select("conv_id", "turn", parse_score(raw).alias("score"))

@@ -58,7 +58,10 @@ def union_entities(parts: dict[str, DataFrame], key: str = "accession") -> DataF
 
 
 def flatten_facts(docs: DataFrame, json: str) -> DataFrame:
-    """Nested fact document to rows: taxonomy, concept, unit, label and the fact fields."""
+    """Nested fact document to rows: taxonomy, concept, unit, label and the fact fields.
+
+    Documents that cannot be read have no rows here; ``unreadable_documents`` has them.
+    """
     keep = [c for c in docs.columns if c != json]
     tax = docs.select(*keep, F.explode(F.from_json(json, FACTS_JSON)).alias("taxonomy", "_c"))
     con = tax.select(*keep, "taxonomy", F.explode("_c").alias("concept", "_b"))
@@ -67,6 +70,11 @@ def flatten_facts(docs: DataFrame, json: str) -> DataFrame:
     return fact.select(*keep, "taxonomy", "concept", "label", "unit", "_x.*")
 
 
+def unreadable_documents(docs: DataFrame, json: str) -> DataFrame:
+    """Documents that are missing or do not parse, as they are."""
+    return docs.filter(F.from_json(json, FACTS_JSON).isNull())
+
+
 def concept_map(spark, rows: Sequence[tuple[str, str, int]]) -> DataFrame:
     """(position, concept, concept_priority), as small as its literal."""
     return spark.createDataFrame(list(rows), "position string, concept string, concept_priority int")

@@ -166,3 +166,12 @@ def test_fye_month_ties_and_default(spark):
     rows = [(1, "10-K", d("2020-06-30")), (1, "10-K", d("2021-03-31")), (1, "10-Q", d("2021-09-30")), (2, "10-Q", d("2021-09-30"))]
     df = spark.createDataFrame(rows, "entity int, form string, report_date date")
     assert {r.entity: r.fye_month for r in select.fye_month(df).collect()} == {1: 3, 2: 12}
+
+
+def test_upsert_keeps_the_last_write(spark):
+    from daybook.operators import ingest
+
+    old = spark.createDataFrame([(1, 5.0), (2, 6.0), (4, None)], "k int, value double")
+    new = spark.createDataFrame([(1, 9.0, 1), (1, 2.0, 2), (3, 7.0, 1), (3, None, 2), (4, 8.0, 0)], "k int, value double, seq int")
+    for batch in (new, new.orderBy("value")):
+        assert sorted(tuple(r) for r in ingest.upsert(old, batch, ["k"], ["seq"]).collect()) == [(1, 2.0), (2, 6.0), (3, None), (4, 8.0)]

@@ -72,3 +72,10 @@ def test_changes_and_floor(spark):
     assert one[0][1:] == (None, 1, 0) and one[2][1] == 3.0
     assert sum(x.train_eligible for x in out if x.entity == 1) == 7
     assert sum(x.train_eligible for x in out if x.entity == 2) == 0
+
+
+def test_reports_without_a_release_have_no_label(spark):
+    p = spark.createDataFrame([("a", day(i), 10.0 + i % 7) for i in range(70)] + [("a", None, 1.0)], "entity string, d date, adjusted_close double")
+    r = spark.createDataFrame([("a", None), ("a", day(0))], "entity string, release_date date")
+    assert {x.release_date: x.t1_date for x in label.first_row_after(r, p).collect()} == {None: None, day(0): day(1)}
+    assert [x.release_date for x in label.forward_labels(r, p.filter("d is not null")).collect()] == [day(0)]

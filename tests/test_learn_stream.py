@@ -184,3 +184,63 @@ def test_stream_labels_equal_batch(spark):
     got = spark.read.parquet(out).select(*cols).toPandas().sort_values(cols[:2])
     pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True), check_exact=False)
     assert set(want.status) == {"ok", "zero_volatility"}
+
+
+def test_correlations_of_offset_columns(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=400)
+    pdf = pd.DataFrame({"g": "x", "a": 1e9 + a, "b": 1e9 + a + 0.01 * rng.normal(size=400), "c": 7.0})
+    df = spark.createDataFrame(pdf)
+    want = np.corrcoef(pdf.a - 1e9, pdf.b - 1e9)[0, 1]
+    r = {(x.feat_a, x.feat_b): x.r for x in stats.corr_matrix(df, ["a", "b", "c"]).collect()}
+    assert r["a", "b"] == pytest.approx(want, abs=1e-6) and r["a", "c"] is None
+    s = {x.feature: x for x in stats.feature_target_corr(df, ["a", "c"], "b", min_n=2).collect()}
+    assert s["a"].pearson == pytest.approx(want, abs=1e-6) and s["c"].pearson is None and s["c"].spearman == 0
+
+
+def test_fingerprint_tells_texts_and_names_apart(spark):
+    def fp(rows, schema):
+        return tuple(quality.fingerprint(spark.createDataFrame(rows, schema), "t").first())[3:]
+
+    one = fp([("x|y", "z")], "a string, b string")
+    others = [fp([("x", "y|z")], "a string, b string"), fp([("x|y", "z")], "a string, c string"), fp([("x|y", None)], "a string, b string"), fp([("x|y", "~")], "a string, b string")]
+    assert len({one, *others}) == 5
+    many = spark.range(3000).selectExpr("id", "'same' b").unionByName(spark.range(3000).selectExpr("id", "'same' b"))
+    assert int(quality.fingerprint(many, "t").first().sum_hash) > 2**63
+
+
+def test_late_prices_are_not_looked_ahead_to(spark):
+    p = [(1, D0 + dt.timedelta(days=i), 10.0 + i) for i in range(30)]
+    line = time_line(spark.createDataFrame([(1, D0 + dt.timedelta(days=5)), (1, None)], "entity long, release_date date"), spark.createDataFrame(p, "entity long, d date, adjusted_close double"))
+    late = line.filter("kind = 0").withColumn("close", F.lit(999.0))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src, out, ck = (scratch_path(spark, n) for n in ("as", "ao", "ac"))
+        first, rest = F.col("day") <= D0 + dt.timedelta(days=12), F.col("day") > D0 + dt.timedelta(days=12)
+        for part in (line.filter(first | F.col("day").isNull()), line.filter(rest).unionByName(late.filter(first))):
+            part.write.mode("append").parquet(src)
+            s = spark.readStream.schema(line.schema).parquet(src)
+            stream_labels(s, n=10).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    (r,) = spark.read.schema("entity long, release_date date, t1_date date, t63_date date, ret double").parquet(out).collect()
+    assert (r.t1_date, r.t63_date) == (D0 + dt.timedelta(days=6), D0 + dt.timedelta(days=15)) and r.ret == pytest.approx(25.0 / 16.0 - 1)
+
+
+def test_task_functions_need_no_package_on_the_executor(tmp_path):
+    """A Python function of the package runs from a folder where workers cannot import it."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from daybook.session import local_session; from daybook.operators import sections as sx\n"
+        "s = local_session('1', 1)\n"
+        "print('TEXT', sx.html_to_text(s.createDataFrame([('<p>a</p>',)], 'html string'), 'html').first().text)\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "TEXT a" in got.stdout, got.stderr[-2000:]

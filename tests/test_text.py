@@ -110,3 +110,16 @@ def test_dimension_rules(spark):
     need = F.expr("array(named_struct('axes', array('A','A2'), 'members', array('x')), named_struct('axes', array('B'), 'members', array('y','w')))")
     assert sorted(r.i for r in fl.filter_dimensions(df, need).collect()) == [1, 2]
     assert [r.i for r in fl.filter_dimensions(df, F.lit(None)).collect()] == [4]
+
+
+def test_text_node_with_a_bare_sign(spark):
+    html = "<p>margin < 5 % &amp; rising</p>a<!-- note -->b<script>x < 1</script><br>c &lt; d"
+    got = sx.html_to_text(spark.createDataFrame([(html,)], "html string"), "html").first().text
+    assert got.split("\n") == ["margin < 5 % & rising", "a", "b", "c < d"]
+
+
+def test_unreadable_documents_are_kept_apart(spark):
+    good = '{"us-gaap":{"Revenue":{"label":"R","units":{"USD":[{"val":1.0},{"val":2.0}],"EUR":[{"val":3.0}]}}}}'
+    docs = spark.createDataFrame([(1, good), (2, good[:30]), (3, None), (4, "{}")], "id int, doc string")
+    assert sorted((r.id, r.unit, r.val) for r in fl.flatten_facts(docs, "doc").collect()) == [(1, "EUR", 3.0), (1, "USD", 1.0), (1, "USD", 2.0)]
+    assert {r.id for r in fl.unreadable_documents(docs, "doc").collect()} == {2, 3}
