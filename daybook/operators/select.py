@@ -109,9 +109,15 @@ def select_best_fact(candidates: DataFrame, group: Sequence[str] = ("accession",
     )
 
 
-def filing_grid(filings: DataFrame, positions: Sequence[str], facts: DataFrame, key: str = "accession") -> DataFrame:
-    """Every filing with every needed position; positions without a fact are ``missing``."""
-    grid = filings.select("*", F.explode(F.array(*[F.lit(p) for p in positions])).alias("position"))
+def filing_grid(filings: DataFrame, positions: Sequence[str] | DataFrame, facts: DataFrame, key: str = "accession", entity: str = "entity") -> DataFrame:
+    """Every filing with every needed position; positions without a fact are ``missing``.
+
+    ``positions``: a list for all, or (``entity``, position) rows with those each entity needs.
+    """
+    if isinstance(positions, DataFrame):
+        grid = filings.join(positions.select(entity, "position").distinct(), entity)
+    else:
+        grid = filings.select("*", F.explode(F.array(*[F.lit(p) for p in positions])).alias("position"))
     add = [c for c in facts.columns if c not in filings.columns or c == key]
     out = grid.join(facts.select(*add), [key, "position"], "left")
     return out.withColumn("selection_status", F.coalesce("selection_status", F.lit("missing")))
@@ -124,14 +130,31 @@ def sign_rules(rows: DataFrame, positions: Sequence[str] = ABSOLUTE_POSITIONS, v
 
 @dataclass(frozen=True)
 class CalcRule:
+    """A rule holds for all, or for one ``group``, or for one ``entity``; for a target the narrowest scope counts."""
+
     target: str
     components: tuple[tuple[str, float], ...]
     overwrite_existing: bool = False
     missing_components_as_zero: bool = False
     require_at_least_one_component: bool = False
+    group: object = None
+    entity: object = None
+
+
+def _in_scope(r: CalcRule, rules: Sequence[CalcRule], group: str, entity: str) -> Column:
+    """Rows that the rule is for: not those with a rule of narrower scope for the same target."""
+    if r.entity is not None:
+        return F.col(entity).eqNullSafe(F.lit(r.entity))
+    same = [x for x in rules if x.target == r.target]
+    own = [x.entity for x in same if x.entity is not None]
+    out = ~F.coalesce(F.col(entity).isin(own), F.lit(False)) if own else F.lit(True)
+    if r.group is not None:
+        return out & F.col(group).eqNullSafe(F.lit(r.group))
+    groups = [x.group for x in same if x.group is not None]
+    return out & ~F.coalesce(F.col(group).isin(groups), F.lit(False)) if groups else out
 
 
-def _apply_rule(df: DataFrame, r: CalcRule) -> DataFrame:
+def _apply_rule(df: DataFrame, r: CalcRule, scope: Column) -> DataFrame:
     total: Column = F.lit(0.0)
     found: Column = F.lit(False)
     ready: Column = F.lit(True)
@@ -144,7 +167,7 @@ def _apply_rule(df: DataFrame, r: CalcRule) -> DataFrame:
     if r.require_at_least_one_component:
         ready = ready & found
     go = ready if r.overwrite_existing else ready & F.col(r.target).isNull()
-    go = go & F.col(f"_row_{r.target}")
+    go = go & F.col(f"_row_{r.target}") & scope
     return df.withColumn("_go", go).withColumns(
         {
             r.target: F.when(F.col("_go"), total).otherwise(F.col(r.target)),
@@ -153,11 +176,12 @@ def _apply_rule(df: DataFrame, r: CalcRule) -> DataFrame:
     ).drop("_go")
 
 
-def apply_calculations(rows: DataFrame, rules: Sequence[CalcRule], keys: Sequence[str], positions: Sequence[str], max_passes: int = 5) -> DataFrame:
+def apply_calculations(rows: DataFrame, rules: Sequence[CalcRule], keys: Sequence[str], positions: Sequence[str], max_passes: int = 5, group: str = "grp", entity: str = "entity") -> DataFrame:
     """Fill target positions from weighted components, rule by rule.
 
     Positions become columns, so a rule is one projection. A later pass repeats only rules
-    whose components may have moved since they ran. Long rows in, long rows out.
+    whose components may have moved since they ran. Long rows in, long rows out. Columns that scopes
+    refer to must be among the keys.
     """
     # components may be rows the caller does not list as positions, or not exist at all
     names = list(dict.fromkeys([*positions, *[n for r in rules for n in (r.target, *[c for c, _ in r.components])]]))
@@ -172,7 +196,7 @@ def apply_calculations(rows: DataFrame, rules: Sequence[CalcRule], keys: Sequenc
         if not todo:
             break
         for r in todo:
-            wide = _apply_rule(wide, r)
+            wide = _apply_rule(wide, r, _in_scope(r, rules, group, entity))
         moved = {r.target for r in todo}
         again: list[CalcRule] = []
         for i, r in enumerate(rules):

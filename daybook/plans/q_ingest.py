@@ -86,23 +86,45 @@ def s3_unreadable(s, d):
     return fl.unreadable_documents(fact_documents(s, d), "doc").select("accession")
 
 
-# fixed values
-CONCEPTS = [("revenue", "A", 1), ("revenue", "N", 2), ("net_income", "R", 1), ("net_income", "N", 2)]
+# fixed values: two groups map N differently, and one entity has a revenue concept of its own
+CONCEPTS = {0: [("revenue", "A", 1), ("revenue", "N", 2), ("net_income", "R", 1)], 1: [("revenue", "A", 1), ("net_income", "R", 1), ("net_income", "N", 2)]}
+OWN_ENTITY, OWN_CONCEPTS = 7, [("revenue", "R", 1)]
+
+
+def groups(s, d):
+    """(entity, grp): two accounting groups."""
+    return fx.filings(s, d).select("entity").distinct().withColumn("grp", (F.col("entity") % 2).cast("int"))
+
+
+def scoped_rules(s, d, table, by_group, own):
+    """Rules of each entity; ``table`` makes a rule table of a list."""
+    parts = None
+    for g, rows in by_group.items():
+        one = table(s, rows).withColumn("grp", F.lit(g))
+        parts = one if parts is None else parts.unionByName(one)
+    return fl.scoped(parts, table(s, own).withColumn("entity", F.lit(OWN_ENTITY).cast("long")), groups(s, d))
+
+
+def scoped_values(by_group, own):
+    """The same as DuckDB rows (grp, entity, position, concept, priority), for a join on the group or on the entity."""
+    rows = [f"({g}, null, '{p}', '{c}', {n})" for g, m in by_group.items() for p, c, n in m] + [f"(null, {OWN_ENTITY}, '{p}', '{c}', {n})" for p, c, n in own]
+    mine = ", ".join(f"'{p}'" for p, _, _ in own)
+    return f"(values {', '.join(rows)}) m(grp, own, position, concept, p) on m.concept = f.position and (m.own = f.entity or m.grp = f.entity % 2 and not (f.entity = {OWN_ENTITY} and m.position in ({mine})))"
 
 
 @query(
     "s4_candidate_facts",
-    sql("""select f.accession, f.line_no, m.position as position, f.position as concept, m.p concept_priority, round(f.value,6) as value
-from f4 f join (values ('revenue','A',1),('revenue','N',2),('net_income','R',1),('net_income','N',2)) m(position, concept, p) on m.concept = f.position
+    sql(f"""select f.accession, f.line_no, m.position as position, f.position as concept, m.p concept_priority, round(f.value,6) as value
+from f4 f join {scoped_values(CONCEPTS, OWN_CONCEPTS)}
 where f.source = 'companyfacts' and f.accession in (select accession from fil where filed >= date '1996-01-01')""", "f4", "fil"),
 )
 def s4(s, d):
     facts = fx.candidates(s, d).select(
-        "accession", "line_no", F.col("position").alias("concept"), "form", "value",
+        "entity", "accession", "line_no", F.col("position").alias("concept"), "form", "value",
         F.when(F.col("source") == "companyfacts", "USD").otherwise("EUR").alias("unit"),
     )
     chosen = fx.filings(s, d).filter(F.col("filed") >= F.lit("1996-01-01").cast("date"))
-    out = fl.candidate_facts(facts, fl.concept_map(s, CONCEPTS), chosen)
+    out = fl.candidate_facts(facts, scoped_rules(s, d, fl.concept_map, CONCEPTS, OWN_CONCEPTS), chosen)
     return out.select("accession", "line_no", "position", "concept", "concept_priority", r6("value").alias("value"))
 
 
@@ -235,23 +257,25 @@ def s9(s, d):
     return out.select("concept", "month", "quantity", kind.alias("dims"), "first_row")
 
 
-INLINE_RULES = [
-    ("revenue", "A", 1, [(["AxisA", "AxisAlt"], ["A"]), (["AxisB"], ["companyfacts"])]),
-    ("revenue", "N", 2, None),
-    ("net_income", "R", 1, [(["AxisB"], ["ixbrl", "companyfacts"])]),
-]
+_SEGMENT = [(["AxisA", "AxisAlt"], ["A"]), (["AxisB"], ["companyfacts"])]
+_ANY_SOURCE = [(["AxisB"], ["ixbrl", "companyfacts"])]
+INLINE_RULES = {
+    0: [("revenue", "A", 1, _SEGMENT), ("revenue", "N", 2, None), ("net_income", "R", 1, _ANY_SOURCE)],
+    1: [("revenue", "A", 1, _SEGMENT), ("net_income", "N", 2, None)],
+}
+OWN_INLINE = [("revenue", "R", 1, _ANY_SOURCE)]
 
 
 @query(
     "s10_inline_candidates",
-    sql("""select f.accession, line_no, case when f.position in ('A','N') then 'revenue' else 'net_income' end as position,
- case when f.position = 'N' then 2 else 1 end concept_priority, case when f.entity % 2 = 0 then 'us-gaap' else 'company_extension_ixbrl' end taxonomy,
- fil.form, fil.filed from f4 f join fil on fil.accession = f.accession where fil.filed >= date '1997-01-01' and (
+    sql(f"""select f.accession, line_no, m.position as position, m.p concept_priority, case when f.entity % 2 = 0 then 'us-gaap' else 'company_extension_ixbrl' end taxonomy,
+ fil.form, fil.filed from f4 f join fil on fil.accession = f.accession
+ join {scoped_values({g: [r[:3] for r in m] for g, m in INLINE_RULES.items()}, [r[:3] for r in OWN_INLINE])} where fil.filed >= date '1997-01-01' and (
   (f.position = 'A' and line_no <> 1 and source = 'companyfacts') or (f.position = 'N' and line_no = 1) or (f.position = 'R' and line_no <> 1))""", "f4", "fil"),
 )
 def s10(s, d):
     chosen = fx.filings(s, d).filter(F.col("filed") >= F.lit("1997-01-01").cast("date"))
-    out = fl.inline_candidates(dimensioned(s, d), fl.inline_rules(s, INLINE_RULES), chosen)
+    out = fl.inline_candidates(dimensioned(s, d), scoped_rules(s, d, fl.inline_rules, INLINE_RULES, OWN_INLINE), chosen)
     return out.select("accession", "line_no", "position", "concept_priority", "taxonomy", "form", "filed")
 
 

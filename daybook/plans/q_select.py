@@ -121,10 +121,13 @@ def p5(s, d):
 @query(
     "p6_filing_grid",
     sql("""select fil.accession, p.position, fil.form, round(bf.value,6) as value, coalesce(bf.selection_status, 'missing') selection_status
-from fil cross join (values ('A'),('N'),('R'),('T')) p(position) left join bf on bf.accession = fil.accession and bf.position = p.position""", "fil", "bf"),
+from fil join (values (0,'A'),(0,'N'),(0,'T'),(1,'A'),(1,'R'),(2,'A'),(2,'N'),(2,'R'),(2,'T')) p(grp, position) on p.grp = case when fil.entity = 7 then 2 else fil.entity % 2 end left join bf on bf.accession = fil.accession and bf.position = p.position""", "fil", "bf"),
 )
 def p6(s, d):
-    out = sl.filing_grid(fx.filings(s, d), ["A", "N", "R", "T"], best_facts(s, d))
+    # what two groups need, and one entity that needs what either does
+    e = fx.filings(s, d).select("entity").distinct()
+    needs = F.when(F.col("entity") % 2 == 0, F.array(*map(F.lit, "ANT"))).when(F.col("entity") == 7, F.array(*map(F.lit, "ANRT"))).otherwise(F.array(*map(F.lit, "AR")))
+    out = sl.filing_grid(fx.filings(s, d), e.select("entity", F.explode(needs).alias("position")), best_facts(s, d))
     return out.select("accession", "position", "form", r6("value").alias("value"), "selection_status")
 
 
@@ -141,11 +144,13 @@ RULES = [
     sl.CalcRule("cash_and_cash_equivalents", (("total_assets", 1.0), ("total_debt", -1.0))),
     sl.CalcRule("total_debt", (("short_term_debt", 1.0), ("long_term_debt", 1.0)), missing_components_as_zero=True, require_at_least_one_component=True),
     sl.CalcRule("operating_cash_flow", (("net_income", 1.0), ("capital_expenditure", -1.0)), overwrite_existing=True, missing_components_as_zero=True),
+    sl.CalcRule("operating_cash_flow", (("net_income", 2.0),), overwrite_existing=True, group=1),
+    sl.CalcRule("operating_cash_flow", (("total_assets", 1.0),), overwrite_existing=True, entity=7),
 ]
 _CALC_TARGETS = {
     "cash_and_cash_equivalents": ("coalesce(cash_and_cash_equivalents, total_assets - td)", "cash_and_cash_equivalents is null and td is not null"),
     "total_debt": ("td", "total_debt is null and td is not null"),
-    "operating_cash_flow": ("net_income - coalesce(capital_expenditure, 0)", "true"),
+    "operating_cash_flow": ("case when entity = 7 then coalesce(total_assets, operating_cash_flow) when sector = 1 then coalesce(net_income * 2, operating_cash_flow) else coalesce(net_income, 0) - coalesce(capital_expenditure, 0) end", "case when entity = 7 then total_assets is not null when sector = 1 then net_income is not null else true end"),
 }
 cte(
     "calc",
@@ -170,10 +175,10 @@ cte(
  case when calculated then 'calculated_from_components' when value is null then 'missing' else 'selected' end selection_status from calc""", "calc"),
 )
 def p8(s, d):
-    keys = ["entity", "form", "period_end"]
+    keys = ["entity", "form", "period_end", "sector"]
     rows = fx.facts_wide(s, d).unpivot(keys, fx.POSITIONS, "position", "value")
-    out = sl.apply_calculations(rows, RULES, keys, fx.POSITIONS)
-    return out.select(*keys, "position", F.round("value", 6).alias("value"), "selection_status")
+    out = sl.apply_calculations(rows, RULES, keys, fx.POSITIONS, group="sector")
+    return out.select(*keys[:3], "position", F.round("value", 6).alias("value"), "selection_status")
 
 
 def quarter_rows(s, d):

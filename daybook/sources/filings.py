@@ -80,10 +80,27 @@ def concept_map(spark, rows: Sequence[tuple[str, str, int]]) -> DataFrame:
     return spark.createDataFrame(list(rows), "position string, concept string, concept_priority int")
 
 
+def scoped(by_group: DataFrame, by_entity: DataFrame, members: DataFrame, item: str = "position", group: str = "grp", entity: str = "entity") -> DataFrame:
+    """Rules of each entity: those of its group, but for an item that has rules of the entity's own, only these.
+
+    ``by_group`` has ``group`` and ``by_entity`` has ``entity`` beside the rule columns; ``members`` has one
+    (``entity``, ``group``) row per entity.
+    """
+    inherited = by_group.join(members.select(entity, group), group).drop(group)
+    own = by_entity.select(entity, item).distinct()
+    return inherited.join(own, [entity, item], "left_anti").unionByName(by_entity)
+
+
+def _on(rules: DataFrame, *cols: str) -> list[str]:
+    """Rules with an entity column hold for that entity only."""
+    return [*cols, *[c for c in ("entity",) if c in rules.columns]]
+
+
 def candidate_facts(facts: DataFrame, mapping: DataFrame, filings: DataFrame, key: str = "accession") -> DataFrame:
-    """Facts of mapped concepts in the selected filings, target forms and unit only."""
+    """Facts of mapped concepts in the selected filings, target forms and unit only. ``mapping``: one for all, or one
+    per entity as ``scoped`` gives it."""
     wanted = facts.filter(F.col("form").isin(*TARGET_FORMS) & (F.col("unit") == TARGET_UNIT))
-    mapped = wanted.join(F.broadcast(mapping), "concept")
+    mapped = wanted.join(mapping, _on(mapping, "concept"))
     return mapped.join(filings.select(key), key, "left_semi").withColumn("source", F.lit("companyfacts"))
 
 
@@ -124,8 +141,9 @@ def dedupe_dimensional(facts: DataFrame, keys: Sequence[str], order: Sequence[st
 
 
 def inline_candidates(facts: DataFrame, rules: DataFrame, filings: DataFrame, key: str = "accession", dims: str = "dimensions") -> DataFrame:
-    """Tagged facts that satisfy a rule, as candidate rows of their filing."""
-    hit = facts.join(F.broadcast(rules), "concept").filter(dimensions_match(F.col(dims), F.col("needed")))
+    """Tagged facts that satisfy a rule, as candidate rows of their filing. ``rules``: one list for all, or one per
+    entity as ``scoped`` gives it."""
+    hit = facts.join(rules, _on(rules, "concept")).filter(dimensions_match(F.col(dims), F.col("needed")))
     tax = F.when(F.lower("raw_concept").startswith("us-gaap:"), "us-gaap").otherwise("company_extension_ixbrl")
     own = filings.select(key, "form", "filed")
     return hit.drop("needed").join(own, key).withColumns({"taxonomy": tax, "unit": F.lit(TARGET_UNIT), "source": F.lit("ixbrl")})
