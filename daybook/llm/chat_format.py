@@ -28,16 +28,17 @@ START, END = "<|im_start|>", "<|im_end|>"
 # Control strings of common templates; none is a prefix of another
 CONTROL = (START, END, "<|endoftext|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
 DELTA_CHARS = 512
+ESCAPED = re.compile("|".join([r"\\", *[f"{re.escape(a)}(?={'|'.join(re.escape(c[1:]) for c in CONTROL if c[0] == a)})" for a in "<["]]))
+CODED = re.compile(r"\\(\\|[0-9a-f]{2})")
+TURN = re.compile(rf"{re.escape(START)}(.*?)\n(.*?){re.escape(END)}\n", re.DOTALL)
 
 
 def escape(s: str) -> str:
-    inner = "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == "<")
-    square = "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == "[")
-    return re.sub(rf"\\|<(?={inner})|\[(?={square})", lambda m: "\\\\" if m[0] == "\\" else f"\\{ord(m[0]):02x}", s)
+    return ESCAPED.sub(lambda m: "\\\\" if m[0] == "\\" else f"\\{ord(m[0]):02x}", s)
 
 
 def unescape(s: str) -> str:
-    return re.sub(r"\\(\\|[0-9a-f]{2})", lambda m: "\\" if m[1] == "\\" else chr(int(m[1], 16)), s)
+    return CODED.sub(lambda m: "\\" if m[1] == "\\" else chr(int(m[1], 16)), s)
 
 
 def render(messages: list[tuple[str, str]]) -> tuple[str, list[int]]:
@@ -55,8 +56,7 @@ def render(messages: list[tuple[str, str]]) -> tuple[str, list[int]]:
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn."""
-    turns = re.findall(rf"{re.escape(START)}(.*?)\n(.*?){re.escape(END)}\n", formatted, re.DOTALL)
-    return [(unescape(r), unescape(t)) for r, t in turns]
+    return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
 
 
 def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
