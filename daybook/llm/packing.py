@@ -110,12 +110,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
             memos[tokenizer_path] = WordMemo(tokenizer_path)
         memo, end = memos[tokenizer_path], int(end_id).to_bytes(4, "little")
         step = 4 * capacity
+        names = ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
             out = []
             for key, s in zip(batch["_id"], batch["_text"], strict=True):
                 ids = memo.text(s or "") + end
                 out += [(key, i // step, i // 4, min(step, len(ids) - i) // 4, ids[i : i + step]) for i in range(0, len(ids), step)]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     # the id passes Python as a string: pandas would turn integers beside NULLs into floats
     src = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"))

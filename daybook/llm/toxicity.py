@@ -76,7 +76,9 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for y, t in zip(b["y"], b["text"], strict=True):
             n[y, np.unique(grams(t))] += 1
     f = np.nonzero(n.any(0))[0]
-    yield pd.DataFrame({"feature": f, "ones": n[1, f], "zeros": n[0, f]})
+    for at in range(0, len(f), 100_000):
+        part = f[at : at + 100_000]
+        yield pd.DataFrame({"feature": part, "ones": n[1, part], "zeros": n[0, part]})
 
 
 def fit(
@@ -99,8 +101,10 @@ def fit(
         keep = np.zeros(1 << BITS, bool)
         keep[chosen] = True
         for b in batches:
-            hit = (grams(t) for t in b["text"])
-            yield pd.DataFrame({"label": b["y"].astype(float), "words": [np.unique(h[keep[h]]).astype(str).tolist() for h in hit]})
+            for at in range(0, len(b), 128):  # lists of strings take much room
+                part = b.iloc[at : at + 128]
+                hit = (grams(t) for t in part["text"])
+                yield pd.DataFrame({"label": part["y"].astype(float), "words": [np.unique(h[keep[h]]).astype(str).tolist() for h in hit]})
 
     sets = rows.mapInPandas(words, "label double, words array<string>")
     vectors = CountVectorizerModel.from_vocabulary([str(f) for f in chosen], inputCol="words", outputCol="set", minTF=None).setBinary(True)
