@@ -71,7 +71,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             one = open_.withColumn("flip", F.explode(F.lit(masks).cast("array<bigint>")))
             one = one.select("q", F.lit(s).alias("seg"), segment(F.col("q"), at, width).bitwiseXOR(F.col("flip")).alias("key"))
             probes = one if probes is None else probes.unionByName(one)
-        hits = probes.join(posts, ["seg", "key"])
+        # probes are far more rows than Spark expects of their query rows, so neither side is to be broadcast
+        hits = probes.hint("merge").join(posts, ["seg", "key"])
         # a code is taken where it is met first: smallest radius, then first segment
         gap = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), *c)) for c in cut]
         first = F.lit(True)
