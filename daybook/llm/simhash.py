@@ -33,8 +33,7 @@ from daybook.session import materialize
 BUDGET = 4
 SHINGLE = 4
 GROUP = 8192  # fingerprints of one start in one task; larger groups are dealt out as pairs of parts
-START_LOAD = 64  # wanted fingerprints per start
-GROUPED = ["seed", "forest", "start", "part", "other"]
+START_LOAD = 512  # wanted fingerprints per start, at most
 
 
 def fingerprint(text: str | None, shingle: int, seeds: int = 1) -> np.ndarray:
@@ -85,7 +84,7 @@ def blocks(count: int, budget: int = BUDGET) -> tuple[list[tuple[int, int]], int
 
 
 def starts(fp: Column, cut: list[tuple[int, int]], c: int) -> Column:
-    """Array of (forest, start, path): the bits of the chosen blocks, and all bits with those first."""
+    """Array of (forest, start, path): which blocks are chosen, the bits of the chosen blocks, and all bits with those first."""
 
     def put(order: list[int], end: int) -> Column:
         out, at = F.lit(0).cast("long"), end
@@ -99,7 +98,7 @@ def starts(fp: Column, cut: list[tuple[int, int]], c: int) -> Column:
     for t, chosen in enumerate(combinations(range(len(cut)), c)):
         rest = [i for i in range(len(cut)) if i not in chosen]
         width = sum(cut[i][1] for i in chosen)
-        made.append(F.struct(F.lit(t).alias("forest"), put(list(chosen), width).alias("start"), put([*chosen, *rest], 64).alias("path"), F.lit(width).alias("depth")))
+        made.append(F.struct(F.lit(t).alias("forest"), put(list(chosen), width).alias("start"), put([*chosen, *rest], 64).alias("path")))
     return F.array(*made)
 
 
@@ -116,7 +115,7 @@ def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def walk(fp: np.ndarray, path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, budget: int, label: np.ndarray) -> np.ndarray:
+def walk(path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, budget: int, label: np.ndarray) -> np.ndarray:
     """Join the rows of each [lo, hi) with one another; rows of a range are sorted by path and agree in ``depth`` bits."""
     changed = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
     ones: dict[int, np.ndarray] = {}
@@ -138,7 +137,7 @@ def walk(fp: np.ndarray, path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             w = np.repeat(w, n)
             i, j = np.repeat(x, n) + at // w, np.repeat(y, n) + at % w
-            ok = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+            ok = (i != j) & (np.bitwise_count(path[i] ^ path[j]) <= budget)
             found.append((i[ok], j[ok]))
             al, ah, bl, bh, err, same = (x[~few] for x in (al, ah, bl, bh, err, same))
         if not len(al):
@@ -161,28 +160,33 @@ def walk(fp: np.ndarray, path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth
     return merged(label, np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
 
 
-def trie_links(fp: np.ndarray, path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, budget: int) -> np.ndarray:
+def trie_links(path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, budget: int) -> np.ndarray:
     """Labels of the components within each range. Large ranges are walked with budgets 1, 2, ... so that what a small
     budget has joined need not be walked again."""
-    label = np.arange(len(fp))
+    label = np.arange(len(path))
     large = hi - lo > 256
     for b in range(1, budget) if large.any() else ():
-        label = walk(fp, path, lo[large], hi[large], depth[large], b, label)
-    return walk(fp, path, lo, hi, depth, budget, label)
+        label = walk(path, lo[large], hi[large], depth[large], b, label)
+    return walk(path, lo, hi, depth, budget, label)
 
 
-def linked(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group, then path; gives (a, b): nodes joined to the first of their component there."""
+def linked(batches: Iterator[pd.DataFrame], depths: list[int], budget: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by grp, then path; gives (a, b): nodes joined to the first of their component in their start."""
+
+    def starts_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grp = rows["grp"].to_numpy()
+        depth = np.array(depths)[(grp >> 40) & 0xFFF]
+        return grp, rows["path"].to_numpy().view(np.uint64) >> (64 - depth).astype(np.uint64), depth
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
-        g = rows[GROUPED].to_numpy()
-        cut = np.concatenate(([0], np.nonzero((g[1:] != g[:-1]).any(1))[0] + 1, [len(g)]))
+        grp, start, depth = starts_of(rows)
+        cut = np.concatenate(([0], np.nonzero((grp[1:] != grp[:-1]) | (start[1:] != start[:-1]))[0] + 1, [len(grp)]))
         lo, hi = cut[:-1], cut[1:]
         keep = hi - lo > 1
-        fp, node = rows["fp"].to_numpy(), rows["node"].to_numpy()
+        node, path = rows["node"].to_numpy(), rows["path"].to_numpy().view(np.uint64)
         if not keep.any():
             return pd.DataFrame({"a": node[:0], "b": node[:0]})
-        label = trie_links(fp.view(np.uint64), rows["path"].to_numpy().view(np.uint64), lo[keep], hi[keep], rows["depth"].to_numpy()[lo[keep]], budget)
+        label = trie_links(path, lo[keep], hi[keep], depth[lo[keep]], budget)
         i = np.nonzero(label != np.arange(len(label)))[0]
         return pd.DataFrame({"a": node[i], "b": node[label[i]]})
 
@@ -190,8 +194,8 @@ def linked(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFram
     for b in batches:
         held = b if held is None else pd.concat([held, b], ignore_index=True)
         if len(held) >= 4 * GROUP:
-            g = held[GROUPED].to_numpy()
-            last = np.nonzero((g != g[-1]).any(1))[0]
+            grp, start, _ = starts_of(held)
+            last = np.nonzero((grp != grp[-1]) | (start != start[-1]))[0]
             if len(last):
                 yield done(held.iloc[: last[-1] + 1])
                 held = held.iloc[last[-1] + 1 :].reset_index(drop=True)
@@ -204,14 +208,18 @@ def near_pairs(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     of one seed within the budget."""
     most = fps.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
     cut, c = blocks(most, budget)
-    rows = fps.select("seed", "fp", "node", F.inline(starts(F.col("fp"), cut, c)))
+    depths = [sum(cut[i][1] for i in chosen) for chosen in combinations(range(len(cut)), c)]
+    rows = fps.select("seed", "node", F.inline(starts(F.col("fp"), cut, c)))
     hot = rows.groupBy("seed", "forest", "start").count().filter(F.col("count") > GROUP).withColumn("parts", F.ceil(F.col("count") / GROUP).cast("int")).drop("count")
     rows = rows.join(hot, ["seed", "forest", "start"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("_p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # a group in one part meets itself; of more parts, each pair of two meets
+    rows = rows.withColumn("_p", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    # a start in one part meets itself; of more parts, each pair of two meets
     rows = rows.withColumn("_o", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, parts - 1), x -> x <> _p)"))))
-    rows = rows.select("seed", "forest", "start", F.least("_p", "_o").alias("part"), F.greatest("_p", "_o").alias("other"), "depth", "path", "fp", "node")
-    return rows.repartition(*GROUPED).sortWithinPartitions(*GROUPED, "path").mapInPandas(lambda b: linked(b, budget), "a long, b long")
+    # one number for seed, forest and the pair of parts; the start is the head of the path
+    pair = [F.shiftleft(x.cast("long"), n) for x, n in ((F.col("seed"), 52), (F.col("forest"), 40), (F.least("_p", "_o"), 20), (F.greatest("_p", "_o"), 0))]
+    rows = rows.select((pair[0] + pair[1] + pair[2] + pair[3]).alias("grp"), "path", "node", "start")
+    dealt = rows.repartition("grp", "start").drop("start").sortWithinPartitions("grp", "path")
+    return dealt.mapInPandas(lambda b: linked(b, depths, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, seeds: int = 1) -> DataFrame:
