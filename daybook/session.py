@@ -18,7 +18,8 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("daybook")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="daybook-"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -49,13 +50,22 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def _listing(spark: SparkSession, data_dir: str) -> str:
+    """The folder's tables with their sizes and times, so that changed data is another folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return data_dir
+    return data_dir + "".join(sorted(f"/{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(path)))
+
+
 def stage(spark: SparkSession, data_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Write ``build()`` once per application and input folder, then read it back.
+    """Write ``build()`` once per application and state of the input folder, then read it back.
 
     Later plans start from a Parquet table (statistics, column pruning, pushdown) and an
     executor loss replays at most the step in flight, never the whole chain.
     """
-    tag = hashlib.sha1(data_dir.encode()).hexdigest()[:12]
+    tag = hashlib.sha1(_listing(spark, data_dir).encode()).hexdigest()[:12]
     path = f"{shared_root(spark)}/daybook/{spark.sparkContext.applicationId}/{tag}/{name}"
     if path not in _READY:
         build().write.mode("overwrite").parquet(path)
@@ -63,6 +73,11 @@ def stage(spark: SparkSession, data_dir: str, name: str, build: Callable[[], Dat
     return spark.read.parquet(path)
 
 
+def forget_stages() -> None:
+    """Build stage tables anew from now on; for timing."""
+    _READY.clear()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared root for one run's table or stream checkpoint."""
     return f"{shared_root(spark)}/daybook/{spark.sparkContext.applicationId}/run/{name}-{uuid.uuid4().hex[:12]}"
