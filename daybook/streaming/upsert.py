@@ -2,8 +2,8 @@
 
 Every micro-batch becomes one folder of the target (replaced if the batch is replayed, so the
 write is idempotent). Readers resolve the last write per key; ``compact`` folds old batches.
-Rows are laid out by a hash bucket of the key, so comparing a batch reads only the buckets it
-touches.
+Rows are laid out by a hash bucket of the scope, a part of the key, so comparing a batch with what was
+there, restated or orphaned, reads only the buckets it touches.
 """
 
 from __future__ import annotations
@@ -51,15 +51,15 @@ def write_batch(batch: DataFrame, batch_id: int, target: str, log: str, key: Seq
     # the batch itself may repeat a key: its newest row by ``order`` wins
     one = batch.groupBy(*key).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_m"))
     one = one.select(*key, *[F.col(f"_m.{c}").alias(c) for c in rest]).select(*schema.names)
-    rows = one.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+    rows = one.withColumn("bucket", F.pmod(F.xxhash64(scope), F.lit(buckets)).cast("int")).persist()
     try:
         old = _history(spark, target, schema)
         if old is not None:
             old = old.filter(F.col("batch_id") < batch_id)  # a replay must not see itself
             touched = _last(old.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi"), key)
             find_restatements(rows, touched, key, value).write.mode("overwrite").parquet(f"{log}/restatements/batch_id={batch_id}")
-            scoped = old.join(rows.select(scope).distinct(), scope, "left_semi")
-            find_orphans(rows, scoped, key).distinct().write.mode("overwrite").parquet(f"{log}/orphans/batch_id={batch_id}")
+            scoped = touched.join(rows.select(scope).distinct(), scope, "left_semi")
+            find_orphans(rows, scoped, key).write.mode("overwrite").parquet(f"{log}/orphans/batch_id={batch_id}")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={batch_id}")
     finally:
         rows.unpersist()
