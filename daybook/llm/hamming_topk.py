@@ -1,8 +1,9 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
-A code is cut into segments and posted under each of them. Round r looks up, for every open query, the postings whose
-segment differs from the query's in exactly r bits. After it, every code that has not been met differs by more than r in
-each of the m segments, hence by m * (r + 1) at least in all; a query is done once its k-th distance is below that.
+A code is cut into m segments and posted under each of them. A step (r, s) looks up, for every open query, the postings
+whose segment s differs from the query's in exactly r bits; steps go through the segments, then to the next radius. After
+it, a code that has not been met differs by more than r in the segments up to s and by r at least in the others, so by
+more than m * r + s (s from 0) in all; a query is done once its k-th distance is no larger.
 
 Defined cases: a NULL code takes no part; equal codes are one posting with their k + 1 least ids, which is all that can be
 among the k nearest; a query's own id is never among its results; ties go to the smaller id; fewer rows than k give all;
@@ -32,8 +33,9 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments(count: int) -> list[tuple[int, int]]:
-    """(first bit, bits): about as many bits in a segment as tell ``count`` codes apart."""
-    m = min(8, max(3, round(BITS / math.log2(max(count, 2)))))
+    """(first bit, bits): segments so wide that a posting list holds about eight of ``count`` codes. Wider ones need more
+    lookups, narrower ones meet more codes in vain; there the two are about even."""
+    m = min(8, max(3, round(BITS / max(1, math.log2(max(count, 2)) - 3))))
     edge = [BITS * i // m for i in range(m + 1)]
     return [(edge[i], edge[i + 1] - edge[i]) for i in range(m)]
 
@@ -49,26 +51,27 @@ def best(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
 
 def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``codes``: id, code. ``queries``: query_id, code. Gives query_id, rank (from 1), id, distance."""
-    spark = codes.sparkSession
     codes = codes.filter("id is not null and code is not null").distinct()
     few = best(codes, "code", ["id"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     posted = materialize(few, "hamming-codes")
-    cut = segments(posted.count())
+    size = posted.agg(F.count("*").alias("codes"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
+    cut = segments(size.codes)
     posts = posted.select("code", "ids", F.inline(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("code"), *c).alias("key")) for s, c in enumerate(cut)])))
     posts = materialize(posts, "hamming-posts")
 
     asked = queries.filter("query_id is not null and code is not null").distinct()
-    open_ = materialize(asked.select("code").distinct(), "hamming-open").withColumnRenamed("code", "q")
-    found = spark.createDataFrame([], "q long, id long, distance int")
-    done = []
-    for r in range(max(w for _, w in cut) + 1):
+    none = F.array().cast(f"array<struct<distance:int,id:{codes.schema['id'].dataType.simpleString()}>>")
+    state = materialize(asked.select(F.col("code").alias("q")).distinct(), "hamming-open").withColumn("top", none)
+    done, m, widest = [], len(cut), max(w for _, w in cut)
+    # radii 0 and 1 are few lookups, so they take all segments at once
+    steps = [(0, range(m)), (1, range(m))] + [(r, [s]) for r in range(2, widest + 1) for s in range(m) if r <= cut[s][1]]
+    for r, segs in steps:
         probes = None
-        for s, (at, width) in enumerate(cut):
-            if r > width:
-                continue
+        for s in segs:
+            at, width = cut[s]
             masks = [sum(1 << b for b in c) for c in combinations(range(width), r)]
             # the masks of a segment, some thousands at most, come to each query as one array
-            one = open_.withColumn("flip", F.explode(F.lit(masks).cast("array<bigint>")))
+            one = state.select("q", F.explode(F.lit(masks).cast("array<bigint>")).alias("flip"))
             one = one.select("q", F.lit(s).alias("seg"), segment(F.col("q"), at, width).bitwiseXOR(F.col("flip")).alias("key"))
             probes = one if probes is None else probes.unionByName(one)
         # probes are far more rows than Spark expects of their query rows, so neither side is to be broadcast
@@ -76,24 +79,23 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         # a code is taken where it is met first: smallest radius, then first segment
         gap = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), *c)) for c in cut]
         first = F.lit(True)
-        for s in range(len(cut)):
+        for s in range(m):
             first = first & F.when(F.col("seg") > s, gap[s] > r).when(F.col("seg") < s, gap[s] >= r).otherwise(F.lit(True))
         near = hits.filter(first).select("q", F.explode("ids").alias("id"), F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
         # one more than k, as one may be the query itself
-        found = materialize(best(found.unionByName(near), "q", ["distance", "id"], k + 1), "hamming-found")
-        sure = len(cut) * (r + 1) - 1
-        full = found.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter((F.col("n") > k) & (F.col("far") <= sure)).select("q")
-        if r >= max(w for _, w in cut):
-            done.append(found)
+        new = best(near, "q", ["distance", "id"], k + 1).groupBy("q").agg(F.collect_list(F.struct("distance", "id")).alias("new"))
+        top = F.slice(F.array_sort(F.concat("top", F.coalesce("new", none))), 1, k + 1)
+        sure = m * r + segs[-1]
+        state = state.join(new, "q", "left").select("q", top.alias("top"))
+        covered = (F.size("top") > k) & (F.get("top", F.lit(k))["distance"] <= sure)
+        state = materialize(state.withColumn("full", covered | (F.size("top") == size.ids)), "hamming-state")
+        done.append(state.filter("full"))
+        state = state.filter("not full").select("q", "top")
+        if state.isEmpty():
             break
-        done.append(found.join(full, "q"))
-        found = found.join(full, "q", "left_anti")
-        open_ = materialize(open_.join(full, "q", "left_anti"), "hamming-open")
-        if open_.isEmpty():
-            break
-    got = done[0]
-    for d in done[1:]:
-        got = got.unionByName(d)
-    every = asked.join(got, asked["code"] == got["q"]).filter("id <> query_id")
+    got = state.select("q", "top")  # fewer rows than k, or all radii searched
+    for d in done:
+        got = got.unionByName(d.select("q", "top"))
+    every = asked.join(got, asked["code"] == got["q"]).select("query_id", F.inline("top")).filter("id <> query_id")
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
