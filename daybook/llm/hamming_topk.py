@@ -51,6 +51,7 @@ def best(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
 
 def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``codes``: id, code. ``queries``: query_id, code. Gives query_id, rank (from 1), id, distance."""
+    spark = codes.sparkSession
     codes = codes.filter("id is not null and code is not null").distinct()
     few = best(codes, "code", ["id"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     posted = materialize(few, "hamming-codes")
@@ -66,14 +67,11 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     # radii 0 and 1 are few lookups, so they take all segments at once
     steps = [(0, range(m)), (1, range(m))] + [(r, [s]) for r in range(2, widest + 1) for s in range(m) if r <= cut[s][1]]
     for r, segs in steps:
-        probes = None
-        for s in segs:
-            at, width = cut[s]
-            masks = [sum(1 << b for b in c) for c in combinations(range(width), r)]
-            # the masks of a segment, some thousands at most, come to each query as one array
-            one = state.select("q", F.explode(F.lit(masks).cast("array<bigint>")).alias("flip"))
-            one = one.select("q", F.lit(s).alias("seg"), segment(F.col("q"), at, width).bitwiseXOR(F.col("flip")).alias("key"))
-            probes = one if probes is None else probes.unionByName(one)
+        # bounded by the widths of the segments alone: some thousand masks
+        masks = spark.createDataFrame([(s, sum(1 << b for b in c)) for s in segs for c in combinations(range(cut[s][1]), r)], "seg int, flip long")
+        each = state.select("q", F.explode(F.array(*[F.lit(s) for s in segs])).alias("seg")).join(F.broadcast(masks), "seg")
+        own = F.coalesce(*[F.when(F.col("seg") == s, segment(F.col("q"), *cut[s])) for s in segs])
+        probes = each.select("q", "seg", own.bitwiseXOR(F.col("flip")).alias("key"))
         # probes are far more rows than Spark expects of their query rows, so neither side is to be broadcast
         hits = probes.hint("merge").join(posts, ["seg", "key"])
         # a code is taken where it is met first: smallest radius, then first segment
