@@ -77,6 +77,28 @@ def test_propagation(spark):
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"} or max(distrust[at[h]] / pages[h] for h in hosts if h.endswith("org")) < ug.SHARE
 
 
+def test_propagation_settles_in_pages(spark):
+    """Default arguments, 600 blocked pages, and a chain of 30 hosts that leads to them."""
+    n, blocked = 30, 600
+    rows = [(i, f"http://c{i}.org/", f'<a href="http://{f"c{i + 1}.org" if i + 1 < n else "bad.net"}/">') for i in range(n)]
+    rows += [(n + i, "http://bad.net/es/", None) for i in range(blocked)]
+    m = np.zeros((n + 1, n + 1))  # backwards: from bad.net, at n, to c29, at n - 1, ...
+    for i in range(n):
+        m[i, i + 1] = 1
+    seed = np.zeros(n + 1)
+    seed[n] = 1
+    r = seed.copy()
+    for _ in range(2000):
+        f = m @ r
+        r = seed * (1 - ug.DAMPING * f.sum()) + ug.DAMPING * f
+    got = {x.host: x for x in ug.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    for i in range(n):
+        want = r[i] * blocked
+        assert abs(got[f"c{i}.org"].distrust - want) < ug.TOLERANCE
+        assert got[f"c{i}.org"].verdict == ("block" if want > ug.SHARE else "allow")
+    assert got["c0.org"].distrust > 0 and got["c8.org"].verdict == "block"
+
+
 def test_escape_round_trip():
     rnd = random.Random(9)
     parts = [*cf.CONTROL, "\\", "<", "[", "3c", "\\3c", "|>", "INST]", "a", "\n", "é"]
