@@ -36,23 +36,29 @@ GROUP = 8192  # fingerprints of one start in one task; larger groups are dealt o
 START_LOAD = 512  # wanted fingerprints per start, at most
 
 
-def fingerprint(text: str | None, shingle: int, seeds: int = 1) -> np.ndarray:
-    """64-bit SimHashes; a bit is set if it is in over half of the shingles' hashes. The first has the hashes as they are,
-    each further one mixes them anew."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles in order, in parts; none of a text without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return np.zeros(seeds, np.uint64)
+        return
     digest, flat = xxhash.xxh64_intdigest, b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.concatenate(([0], np.cumsum(size)))
     ends = start[min(shingle, len(words)) :][:n] - 1
-    count = np.zeros((seeds, 64), np.int64)
     for at in range(0, n, 65_536):
         a, b = start[at : min(at + 65_536, n)].tolist(), ends[at : at + 65_536].tolist()
-        h = np.fromiter((digest(flat[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+        yield np.fromiter((digest(flat[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+
+
+def fingerprint(text: str | None, shingle: int, seeds: int = 1) -> np.ndarray:
+    """64-bit SimHashes; a bit is set if it is in over half of the shingles' hashes. The first has the hashes as they are,
+    each further one mixes them anew."""
+    n, count = 0, np.zeros((seeds, 64), np.int64)
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
         for k in range(seeds):
             if k:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -247,6 +253,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """``docs`` with one row of each group of near-duplicates: that with the least id (NULL last), then the least text hash."""
     found = near_duplicates(docs, id_col=id_col, text=text, **options)
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id").alias("_first"), F.col("hash").alias("_hash"))).alias("k"))
+    return first_rows(docs, first, id_col, text)
+
+
+def first_rows(docs: DataFrame, first: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each k._first, k._hash: an id and the hash of a text."""
     kept = first.select("k._first", "k._hash").distinct()
     rows = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
     hit = rows.join(kept, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_h") == F.col("_hash")), "left_semi")
