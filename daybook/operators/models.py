@@ -25,6 +25,7 @@ from daybook.session import materialize
 
 # fixed values
 SEED = 42
+UNLIMITED = 30  # MLlib's maximum depth, for trees that only min_leaf ends
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,7 @@ def roster(trees: int = 400, rounds: int = 300, fourier: int = 200) -> dict[str,
         "ElasticNet": Spec("ElasticNet", _elastic, {"alpha": [1e-2, 1e-1, 1], "l1_ratio": [0.2, 0.5, 0.8]}),
         "RandomForest": Spec(
             "RandomForest", _forest(RandomForestRegressor, trees),
-            {"max_depth": [3, 5, 12], "min_leaf": [5, 20], "features": ["sqrt", 0.5]}, scaled=False,
+            {"max_depth": [3, 5, UNLIMITED], "min_leaf": [5, 20], "features": ["sqrt", 0.5]}, scaled=False,
         ),
         "BoostedTrees": Spec("BoostedTrees", _boosted(GBTRegressor, rounds), {"max_depth": [2, 3], "learning_rate": [0.02, 0.05]}, scaled=False),
         "KernelSVR": Spec("KernelSVR", _svr, {"C": [0.1, 1, 10]}, fourier=fourier),
@@ -129,7 +130,7 @@ def roster(trees: int = 400, rounds: int = 300, fourier: int = 200) -> dict[str,
 def classifiers(trees: int = 400, rounds: int = 300, fourier: int = 200) -> dict[str, Spec]:
     return {
         "LogisticRegression": Spec("LogisticRegression", _logistic, {"C": [0.01, 0.1, 1, 10]}, classifier=True),
-        "RandomForest": Spec("RandomForest", _forest(RandomForestClassifier, trees), {"max_depth": [3, 5, 12], "min_leaf": [5, 20]}, scaled=False, classifier=True),
+        "RandomForest": Spec("RandomForest", _forest(RandomForestClassifier, trees), {"max_depth": [3, 5, UNLIMITED], "min_leaf": [5, 20]}, scaled=False, classifier=True),
         "BoostedTrees": Spec("BoostedTrees", _boosted(GBTClassifier, rounds), {"max_depth": [2, 3], "learning_rate": [0.02, 0.05]}, scaled=False, classifier=True),
         "KernelSVM": Spec("KernelSVM", _logistic, {"C": [0.1, 1, 10]}, fourier=fourier, classifier=True),
     }

@@ -244,3 +244,12 @@ def test_task_functions_need_no_package_on_the_executor(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "TEXT a" in got.stdout, got.stderr[-2000:]
+
+
+def test_unlimited_forests_have_the_maximum_depth():
+    from daybook.operators import models
+    from daybook.plans import q_models
+
+    for specs in (models.roster(), models.classifiers()):
+        assert max(specs["RandomForest"].grid["max_depth"]) == 30
+    assert q_models.MEMBERS["RandomForest"]["max_depth"] == 30
