@@ -52,7 +52,7 @@ def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
         for b in batches:
             for i, t in zip(b["_id"], b["_text"], strict=True):
                 each = sorted(set(terms(t)))
-                yield pd.DataFrame({"_id": [i] * len(each), "term": [x.decode() for x in each]})
+                yield pd.DataFrame({"_id": [i] * len(each), "term": [x.decode() for x in each]}, dtype=object)
 
     src = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("_id"), F.col(text).alias("_text"))
     found = src.mapInPandas(run, "_id string, term string").distinct()
