@@ -69,18 +69,23 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     for r, segs in steps:
         # bounded by the widths of the segments alone: some thousand masks
         masks = spark.createDataFrame([(s, sum(1 << b for b in c)) for s in segs for c in combinations(range(cut[s][1]), r)], "seg int, flip long")
-        each = state.select("q", F.explode(F.array(*[F.lit(s) for s in segs])).alias("seg")).join(F.broadcast(masks), "seg")
+        # a code beyond the k-th distance of a query can't come into its list any more
+        worst = F.coalesce(F.get("top", F.lit(k))["distance"], F.lit(BITS)).alias("worst")
+        each = state.select("q", worst, F.explode(F.array(*[F.lit(s) for s in segs])).alias("seg")).join(F.broadcast(masks), "seg")
         own = F.coalesce(*[F.when(F.col("seg") == s, segment(F.col("q"), *cut[s])) for s in segs])
-        probes = each.select("q", "seg", own.bitwiseXOR(F.col("flip")).alias("key"))
-        # probes are far more rows than Spark expects of their query rows, so neither side is to be broadcast
-        hits = probes.hint("merge").join(posts, ["seg", "key"])
+        probes = each.select("q", "worst", F.col("seg").alias("_seg"), own.bitwiseXOR(F.col("flip")).alias("_key"))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
         # a code is taken where it is met first: smallest radius, then first segment
         gap = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), *c)) for c in cut]
         first = F.lit(True)
         for s in range(m):
             first = first & F.when(F.col("seg") > s, gap[s] > r).when(F.col("seg") < s, gap[s] >= r).otherwise(F.lit(True))
-        near = hits.filter(first).select("q", F.explode("ids").alias("id"), F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
-        # one more than k, as one may be the query itself
+        # probes are far more rows than Spark expects of their query rows, so neither side is to be broadcast
+        on = (F.col("_seg") == F.col("seg")) & (F.col("_key") == F.col("key")) & (distance <= F.col("worst")) & first
+        hits = probes.hint("merge").join(posts, on).select("q", "ids", distance.alias("distance"))
+        # the k + 1 nearest ids are among those of the k + 1 nearest codes; one more than k, as one may be the query itself
+        codes_kept = best(hits.withColumn("least", F.get("ids", F.lit(0))), "q", ["distance", "least"], k + 1)
+        near = codes_kept.select("q", "distance", F.explode("ids").alias("id"))
         new = best(near, "q", ["distance", "id"], k + 1).groupBy("q").agg(F.collect_list(F.struct("distance", "id")).alias("new"))
         top = F.slice(F.array_sort(F.concat("top", F.coalesce("new", none))), 1, k + 1)
         sure = m * r + segs[-1]
