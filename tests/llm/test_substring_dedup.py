@@ -85,5 +85,7 @@ def test_rolling_hash_depends_on_order_and_window_only():
 
 def test_packed_numbers():
     x = np.sort(np.random.default_rng(2).integers(0, 2**63, 99, dtype=np.uint64))
+    flags = np.random.default_rng(3).random(99) < 0.5
+    assert (sd.from_bits(sd.bits(flags), 99) == flags).all()
     assert (sd.from_deltas(sd.deltas(x), np.uint64) == x).all() and (sd.from_planes(sd.planes(x), np.uint64) == x).all()
     assert len(sd.from_deltas(sd.deltas(x[:0]), np.uint64)) == 0
