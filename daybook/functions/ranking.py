@@ -3,8 +3,10 @@
 A plain ``Window.partitionBy(group).orderBy(value)`` puts a whole group into one task. Here a
 group is first reduced to its distinct values (map-side combine, so a hot value is one row).
 Those are cut into runs at the distinct values whose hash falls on a fixed residue: about one in
-``RUN_VALUES`` of them, wherever they lie, so runs are even for every distribution, and small
-groups are one run. The cuts depend on the values only, so tasks that are run again agree.
+``RUN_VALUES`` of them, wherever they lie, so runs are even for every distribution, and groups of
+up to about a million distinct values are one run, which a task sorts in a second or two. The row that
+holds a group's cuts stays small: 95,000 cuts for 10^11 distinct values, a million (8 MB) for 10^12.
+The cuts depend on the values only, so tasks that are run again agree.
 Running totals are taken over the run totals (few rows) and inside each run; both steps are
 small windows, results are exact. NaN sorts after every number, as in Spark.
 """
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN_VALUES = 4096
+RUN_VALUES = 1 << 20
 
 
 def _run(cuts: Column, value: Column) -> Column:

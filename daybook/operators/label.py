@@ -14,23 +14,18 @@ RISK_FREE_ANNUAL = 0.02
 def _next_row(reports: DataFrame, rows: DataFrame, entity: str, at: str, day: str, payload: Column) -> DataFrame:
     """Forward as-of: attach ``payload`` of the first row with ``day`` > ``at``.
 
-    Both sides are laid out on one descending time line, so each report only needs the last
-    row seen so far: a growing frame, no inequality join. An entity's line holds one row per
-    calendar day and report, whatever the size of the raw data. A NULL date has no later row.
+    The days that are asked for and the rows are laid out on one descending time line, so each day only needs the last
+    row seen so far: a growing frame, no inequality join. An entity's line holds one row per calendar day and side, however
+    many reports fall on a day; the reports then meet their day in a join, which AQE splits where one entity has many.
+    A NULL date has no later row.
     """
-    r = reports.withColumn("_t", F.col(at)).withColumn("_is_row", F.lit(0))
-    p = rows.filter(F.col(day).isNotNull()).select(entity, F.col(day).alias("_t"), F.lit(1).alias("_is_row"), payload.alias("_hit"))
-    both = r.unionByName(p, allowMissingColumns=True)
-    w = (
-        Window.partitionBy(entity)
-        .orderBy(F.col("_t").desc(), F.col("_is_row"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        both.withColumn("_hit", F.when(F.col("_t").isNotNull(), F.last("_hit", ignorenulls=True).over(w)))
-        .filter(F.col("_is_row") == 0)
-        .drop("_t", "_is_row")
-    )
+    r = reports.filter(F.col(at).isNotNull()).select(F.col(entity).alias("_e"), F.col(at).alias("_t")).distinct()
+    p = rows.filter(F.col(day).isNotNull()).select(F.col(entity).alias("_e"), F.col(day).alias("_t"), F.lit(1).alias("_is_row"), payload.alias("_hit"))
+    both = r.withColumn("_is_row", F.lit(0)).unionByName(p, allowMissingColumns=True)
+    w = Window.partitionBy("_e").orderBy(F.col("_t").desc(), F.col("_is_row")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).filter(F.col("_is_row") == 0)
+    met = F.col(entity).eqNullSafe(F.col("_e")) & (F.col(at) == F.col("_t"))
+    return reports.join(hit.select("_e", "_t", "_hit"), met, "left").drop("_e", "_t")
 
 
 def first_row_after(reports: DataFrame, prices: DataFrame, entity: str = "entity", release: str = "release_date", day: str = "d") -> DataFrame:

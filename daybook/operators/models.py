@@ -1,44 +1,57 @@
-"""Model roster on MLlib: every fit is a Spark job over prepared rows.
+"""Model roster: every fit is a Spark job over prepared rows.
 
 Input rows carry ``x`` (clipped, imputed features), ``z`` (also standardised), ``y`` (raw
-label) and ``y_fit`` (clipped label). The driver only loops over folds and grid points.
+label) and ``y_fit`` (clipped label). Linear models are solved from pair sums, boosted trees, support vector machines and
+logistic models of all folds and grid points are fitted in the same passes, and forests are MLlib's, a few fits at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.ranking import order_positions, spearman
+from daybook.operators import boosting, linear, svm
 from daybook.operators import metrics as mt
 from daybook.session import materialize
 
 # fixed values
 SEED = 42
 UNLIMITED = 30  # MLlib's maximum depth, for trees that only min_leaf ends
+PARALLEL = 4  # fits of one roster that run at the same time
 
 
 @dataclass(frozen=True)
 class Spec:
-    """A model: parameters -> estimator, its grid, and which feature array it reads."""
+    """A model: its grid, which feature array it reads, and one way to fit it.
+
+    ``solve`` (params, pair sums) -> weights; ``joint`` (rows, points, keys, by, label) -> models of all groups and points;
+    ``build`` (params, label statistics) -> MLlib estimator.
+    """
 
     name: str
-    build: Callable[[Mapping, Mapping], object]
     grid: Mapping[str, Sequence] = field(default_factory=dict)
+    build: Callable[[Mapping, Mapping], object] | None = None
+    solve: Callable[[Mapping, linear.Gram], np.ndarray] | None = None
+    joint: Callable[..., dict] | None = None
     scaled: bool = True
-    fourier: int = 0
     classifier: bool = False
 
+    @property
+    def source(self) -> str:
+        return "z" if self.scaled else "x"
+
     def points(self) -> list[dict]:
         keys = list(self.grid)
         return [dict(zip(keys, v)) for v in product(*[self.grid[k] for k in keys])]
@@ -49,45 +62,49 @@ class Fitted:
     spec: Spec
     params: dict
     model: object
-    map: Callable[[Column], Column]
 
     def predict(self, rows: DataFrame, out: str = "pred") -> DataFrame:
-        src = F.col("z" if self.spec.scaled else "x")
-        v = rows.withColumn("_f", array_to_vector(self.map(src)))
-        got = self.model.transform(v)
-        if self.spec.classifier:
-            p = vector_to_array(F.col("probability"))[1]
-        else:
-            p = F.col("prediction")
-        return got.select(*[c for c in rows.columns if c != out], p.alias(out))
+        kept = [c for c in rows.columns if c != out]
+        model = self.model
+        if isinstance(model, linear.Linear):
+            return rows.select(*kept, model.column(model.source).alias(out))
+        if hasattr(model, "array"):
+
+            @F.pandas_udf("double")
+            def run(x: pd.Series) -> pd.Series:
+                return pd.Series(model.array(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+
+            return rows.select(*kept, run(model.source).alias(out))
+        got = model.transform(rows.withColumn("_f", array_to_vector(F.col(self.spec.source))))
+        p = vector_to_array(F.col("probability"))[1] if self.spec.classifier else F.col("prediction")
+        return got.select(*kept, p.alias(out))
+
+    def weights(self) -> np.ndarray:
+        """Coefficients, or importances that add up to 1."""
+        m = self.model
+        if isinstance(m, linear.Linear):
+            return m.weight
+        if isinstance(m, boosting.Boosted):
+            return m.gain / max(m.gain.sum(), 1e-300)
+        return (m.coefficients if hasattr(m, "coefficients") else m.featureImportances).toArray()
 
     def importance(self, names: Sequence[str]) -> DataFrame:
         """(model, feature, importance, coefficient), largest first."""
-        m = self.model
-        w = m.coefficients if hasattr(m, "coefficients") else m.featureImportances
-        rows = [(self.spec.name, n, float(v)) for n, v in zip(names, w.toArray())]
+        rows = [(self.spec.name, n, float(v)) for n, v in zip(names, self.weights(), strict=True)]
         out = SparkSession.getActiveSession().createDataFrame(rows, "model string, feature string, coefficient double")
         return out.withColumn("importance", F.abs("coefficient")).orderBy(F.col("importance").desc(), "feature")
 
 
-def _ridge(p: Mapping, s: Mapping):
-    # regParam so that the objective equals squared error + alpha * |w|^2
-    return LinearRegression(elasticNetParam=0.0, regParam=p["alpha"] * s["sd"] / s["n"], standardization=False)
-
-
-def _lasso(p: Mapping, s: Mapping):
-    return LinearRegression(elasticNetParam=1.0, regParam=p["alpha"], standardization=False, maxIter=500, tol=1e-9)
+def _ridge(p: Mapping, g: linear.Gram) -> np.ndarray:
+    return linear.ridge(g, p["alpha"])
 
 
-def _elastic(p: Mapping, s: Mapping):
-    l1 = p["alpha"] * p["l1_ratio"]
-    l2 = p["alpha"] * (1 - p["l1_ratio"]) * s["sd"]
-    return LinearRegression(elasticNetParam=l1 / (l1 + l2), regParam=l1 + l2, standardization=False, maxIter=500, tol=1e-9)
+def _lasso(p: Mapping, g: linear.Gram) -> np.ndarray:
+    return linear.coordinate_descent(g, p["alpha"])
 
 
-def _svr(p: Mapping, s: Mapping):
-    # ridge on the cosine map; C weighs the data against the penalty
-    return LinearRegression(elasticNetParam=0.0, regParam=s["sd"] / (p["C"] * s["n"]), standardization=False)
+def _elastic(p: Mapping, g: linear.Gram) -> np.ndarray:
+    return linear.coordinate_descent(g, p["alpha"] * p["l1_ratio"], p["alpha"] * (1 - p["l1_ratio"]))
 
 
 def _forest(cls, trees: int):
@@ -99,92 +116,182 @@ def _forest(cls, trees: int):
     return build
 
 
-def _boosted(cls, rounds: int):
-    def build(p: Mapping, s: Mapping):
-        # no column sampling per tree or leaf penalty here: featureSubsetStrategy samples per node
-        return cls(
-            maxIter=rounds, maxDepth=p.get("max_depth", 2), stepSize=p.get("learning_rate", 0.05), subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=SEED,
-        )
-    return build
+def _boosted(rounds: int, binary: bool = False):
+    def joint(rows: DataFrame, points: Sequence[Mapping], keys: Sequence[str], by: str, label: str) -> dict:
+        return boosting.boost(rows, points, keys=keys, by=by, y=label, rounds=rounds, binary=binary, seed=SEED)
+    return joint
 
 
-def _logistic(p: Mapping, s: Mapping):
-    return LogisticRegression(regParam=1.0 / (p["C"] * s["n"]), elasticNetParam=0.0, standardization=False)
+def _machine(size: int, loss: str = "epsilon"):
+    def joint(rows: DataFrame, points: Sequence[Mapping], keys: Sequence[str], by: str, label: str) -> dict:
+        return svm.machines(rows, points, keys=keys, by=by, y=label, size=size, loss=loss, seed=SEED)
+    return joint
+
+
+# fixed values: the grids of the rosters
+RIDGE = {"alpha": [0.1, 1, 10, 100, 1000]}
+LASSO = {"alpha": [1e-3, 1e-2, 1e-1, 1]}
+ELASTIC = {"alpha": [1e-2, 1e-1, 1], "l1_ratio": [0.2, 0.5, 0.8]}
+FOREST = {"max_depth": [3, 5, UNLIMITED], "min_leaf": [5, 20], "features": ["sqrt", 0.5]}
+BOOSTED = {"max_depth": [2, 3], "learning_rate": [0.02, 0.05], "reg_lambda": [1, 5]}
+MACHINE = {"C": [0.1, 1, 10]}
+LOGISTIC = {"C": [0.01, 0.1, 1, 10]}
+FOREST_CLASSES = {"max_depth": [3, 5, UNLIMITED], "min_leaf": [5, 20]}
 
 
 def roster(trees: int = 400, rounds: int = 300, fourier: int = 200) -> dict[str, Spec]:
     return {
-        "Ridge": Spec("Ridge", _ridge, {"alpha": [0.1, 1, 10, 100, 1000]}),
-        "Lasso": Spec("Lasso", _lasso, {"alpha": [1e-3, 1e-2, 1e-1, 1]}),
-        "ElasticNet": Spec("ElasticNet", _elastic, {"alpha": [1e-2, 1e-1, 1], "l1_ratio": [0.2, 0.5, 0.8]}),
-        "RandomForest": Spec(
-            "RandomForest", _forest(RandomForestRegressor, trees),
-            {"max_depth": [3, 5, UNLIMITED], "min_leaf": [5, 20], "features": ["sqrt", 0.5]}, scaled=False,
-        ),
-        "BoostedTrees": Spec("BoostedTrees", _boosted(GBTRegressor, rounds), {"max_depth": [2, 3], "learning_rate": [0.02, 0.05]}, scaled=False),
-        "KernelSVR": Spec("KernelSVR", _svr, {"C": [0.1, 1, 10]}, fourier=fourier),
+        "Ridge": Spec("Ridge", RIDGE, solve=_ridge),
+        "Lasso": Spec("Lasso", LASSO, solve=_lasso),
+        "ElasticNet": Spec("ElasticNet", ELASTIC, solve=_elastic),
+        "RandomForest": Spec("RandomForest", FOREST, build=_forest(RandomForestRegressor, trees), scaled=False),
+        "BoostedTrees": Spec("BoostedTrees", BOOSTED, joint=_boosted(rounds), scaled=False),
+        "KernelSVR": Spec("KernelSVR", MACHINE, joint=_machine(fourier)),
     }
 
 
 def classifiers(trees: int = 400, rounds: int = 300, fourier: int = 200) -> dict[str, Spec]:
     return {
-        "LogisticRegression": Spec("LogisticRegression", _logistic, {"C": [0.01, 0.1, 1, 10]}, classifier=True),
-        "RandomForest": Spec("RandomForest", _forest(RandomForestClassifier, trees), {"max_depth": [3, 5, UNLIMITED], "min_leaf": [5, 20]}, scaled=False, classifier=True),
-        "BoostedTrees": Spec("BoostedTrees", _boosted(GBTClassifier, rounds), {"max_depth": [2, 3], "learning_rate": [0.02, 0.05]}, scaled=False, classifier=True),
-        "KernelSVM": Spec("KernelSVM", _logistic, {"C": [0.1, 1, 10]}, fourier=fourier, classifier=True),
+        "LogisticRegression": Spec("LogisticRegression", LOGISTIC, joint=_machine(0, "logistic"), classifier=True),
+        "RandomForest": Spec("RandomForest", FOREST_CLASSES, build=_forest(RandomForestClassifier, trees), scaled=False, classifier=True),
+        "BoostedTrees": Spec("BoostedTrees", BOOSTED, joint=_boosted(rounds, binary=True), scaled=False, classifier=True),
+        "KernelSVM": Spec("KernelSVM", MACHINE, joint=_machine(fourier, "hinge"), classifier=True),
     }
 
 
-def fourier_map(k: int, size: int, gamma: float | None = None) -> Callable[[Column], Column]:
-    """Random cosine features whose inner product approximates the RBF kernel.
+def at_point(spec: Spec, params: Mapping) -> Spec:
+    """The same model with one grid point."""
+    return replace(spec, grid={k: [v] for k, v in params.items()})
 
-    The seeded k x size matrix travels with the function; rows pass through Arrow batches.
-    """
-    g = 1.0 / k if gamma is None else gamma
-    rng = np.random.default_rng(SEED)
-    w = rng.normal(0.0, np.sqrt(2 * g), (k, size))
-    b = rng.uniform(0.0, 2 * np.pi, size)
 
-    @F.pandas_udf("array<double>")
-    def cosines(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        z = np.sqrt(2.0 / size) * np.cos(np.stack(x.to_numpy()) @ w + b)
-        return pd.Series(list(z))
+def with_grid(spec: Spec, **values: Sequence) -> Spec:
+    """The same model with other values of some parameters."""
+    return replace(spec, grid={**spec.grid, **values})
 
-    return cosines
+
+def _keys(rows: DataFrame, label: str) -> list[str]:
+    """What names a row: its columns beside the features and labels."""
+    return [c for c in rows.columns if c not in {"x", "z", "y", "y_fit", label}]
 
 
 def fit(spec: Spec, params: Mapping, train: DataFrame, label: str = "y_fit") -> Fitted:
-    """One fit; label statistics needed for the penalties come from one small aggregate."""
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd"), F.max(F.size("x")).alias("k")).first()
-    stats = {"n": float(st.n), "sd": float(st.sd or 0.0) or 1.0}
-    fmap = fourier_map(int(st.k), spec.fourier) if spec.fourier else (lambda c: c)
-    src = F.col("z" if spec.scaled else "x")
-    rows = train.select(array_to_vector(fmap(src)).alias("_f"), F.col(label).cast("double").alias("_y"))
-    est = spec.build(params, stats)
-    est = est.setFeaturesCol("_f").setLabelCol("_y")
-    return Fitted(spec, dict(params), est.fit(rows), fmap)
+    """One fit over all rows of ``train``."""
+    if spec.build is not None:
+        # label statistics needed for the penalties come from one small aggregate
+        st = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sd")).first()
+        stats = {"n": float(st.n), "sd": float(st.sd or 0.0) or 1.0}
+        rows = train.filter(F.col(label).isNotNull()).select(array_to_vector(F.col(spec.source)).alias("_f"), F.col(label).cast("double").alias("_y"))
+        return Fitted(spec, dict(params), spec.build(params, stats).setFeaturesCol("_f").setLabelCol("_y").fit(rows))
+    return fit_groups(at_point(spec, params), train.withColumn("_all", F.lit(0)), "_all", label)[0, 0]
+
+
+def fit_groups(spec: Spec, train: DataFrame, by: str = "fold", label: str = "y_fit") -> dict[tuple[int, int], Fitted]:
+    """A fit for every group of the int column ``by`` and every grid point: (group, number of the point) -> fit."""
+    points = spec.points()
+    if spec.solve is not None:
+        got = linear.grams(train, [by], spec.source, label)
+        made = {(g, i): linear.solved(gram, spec.solve(p, gram), source=spec.source) for (g,), gram in got.items() for i, p in enumerate(points)}
+    elif spec.joint is not None:
+        made = spec.joint(train, points, [c for c in _keys(train, label) if c != by], by, label)
+    else:
+        groups = sorted(r[0] for r in train.select(by).distinct().collect())
+        todo = [(g, i) for g in groups for i in range(len(points))]
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            return dict(zip(todo, pool.map(lambda t: fit(spec, points[t[1]], train.filter(F.col(by) == t[0]), label), todo), strict=True))
+    return {(g, i): Fitted(spec, points[i], m) for (g, i), m in made.items()}
+
+
+def predictions(fits: Mapping[tuple[int, int], Fitted], rows: DataFrame, keep: Sequence[str], by: str = "fold") -> DataFrame:
+    """``keep``, ``by``, model, point and pred of every fit for the rows of its group."""
+    keep = [c for c in keep if c != by]
+    quick = {((g,), f"{f.spec.name}|{f.params}"): f.model for (g, _), f in fits.items() if hasattr(f.model, "array")}
+    parts = []
+    if quick:
+        got = linear.scores(rows, quick, keep, [by])
+        parts.append(got.select(*keep, by, F.substring_index("which", "|", 1).alias("model"), F.expr("substring(which, instr(which, '|') + 1)").alias("point"), "pred"))
+    for (g, _), f in fits.items():
+        if not hasattr(f.model, "array"):
+            got = f.predict(rows.filter(F.col(by) == g).select(*keep, by, "x", "z"))
+            parts.append(got.select(*keep, by, F.lit(f.spec.name).alias("model"), F.lit(str(f.params)).alias("point"), "pred"))
+    return _union(parts)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def grid_predictions(specs: Sequence[Spec], frames: DataFrame, folds: Sequence[int], keys: Sequence[str], label: str = "y_fit", both_sides: bool = False) -> DataFrame:
+def long_predictions(fits: Sequence[Fitted], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep``, model and pred of each fit for all rows."""
+    one = rows.withColumn("_all", F.lit(0))
+    return predictions({(0, i): f for i, f in enumerate(fits)}, one, keep, "_all").select(*keep, "model", "pred")
+
+
+def linear_ablation(
+    specs: Sequence[Spec], frames: DataFrame, subsets: Mapping[str, Sequence[int]], folds: Sequence[int], final: int, keys: Sequence[str], label: str = "y_fit"
+) -> DataFrame:
+    """Per feature set and linear model, its best point by mean fold Spearman: that score, the test score of the fit on fold
+    ``final``, and whether that fit is constant on its own rows.
+
+    One pass gives the pair sums of all folds; every set, model and point is solved from them, and one more pass scores them.
+    """
+    mine = frames.filter(F.col("fold").isin([*folds, final]))
+    gs = linear.grams(mine.filter("role = 'train'"), ["fold"], "z", label)
+    fits, spread = {}, []
+    for name, at in subsets.items():
+        for (fold,), g in gs.items():
+            part = g.subset(at)
+            for spec in specs:
+                for p in spec.points():
+                    w = spec.solve(p, part)
+                    fits[(fold,), f"{name}|{spec.name}|{p}"] = linear.solved(part, w, at, len(g.mean) - 1)
+                    if fold == final:  # variance of the fit on its rows, from the same sums
+                        spread.append((name, spec.name, str(p), len(at), int(np.sqrt(max(w @ part.pairs[:-1, :-1] @ w, 0.0) / part.n) < mt.DEGENERATE_STD)))
+    pred = linear.scores(mine.filter("role = 'test'"), fits, [*keys, "y"])
+    part = F.split("which", r"\|", 3)
+    named = pred.select("fold", "y", "pred", *[F.get(part, F.lit(i)).alias(c) for i, c in enumerate(("feature_set", "model", "point"))])
+    by = ["feature_set", "model", "point"]
+    s = spearman(materialize(named, "ablation_predictions"), [*by, "fold"], "pred", "y")
+    per = s.groupBy(*by).agg(F.avg(F.when(F.col("fold") != final, F.col("spearman"))).alias("cv_spearman"), F.max(F.when(F.col("fold") == final, F.col("spearman"))).alias("test_spearman"))
+    flags = frames.sparkSession.createDataFrame(spread, "feature_set string, model string, point string, n_features int, degenerate int")
+    return _best_of_sets(per.join(flags, by))
+
+
+def _best_of_sets(points: DataFrame) -> DataFrame:
+    best = points.groupBy("feature_set", "model").agg(F.min(F.struct((-F.col("cv_spearman")).alias("_m"), "point", "cv_spearman", "test_spearman", "n_features", "degenerate")).alias("b"))
+    return best.select("feature_set", "model", "b.point", "b.cv_spearman", "b.test_spearman", "b.n_features", "b.degenerate")
+
+
+def ablation(
+    specs: Sequence[Spec], frames: DataFrame, subsets: Mapping[str, Sequence[int]], folds: Sequence[int], final: int, keys: Sequence[str], label: str = "y_fit"
+) -> DataFrame:
+    """``linear_ablation`` for a whole roster: other models are fitted on the arrays of each feature set."""
+    straight, others = [x for x in specs if x.solve is not None], [x for x in specs if x.solve is None]
+    parts = [linear_ablation(straight, frames, subsets, folds, final, keys, label)] if straight else []
+    mine = frames.filter(F.col("fold").isin([*folds, final]))
+    for name, at in subsets.items() if others else ():
+        def pick(c: str, at: Sequence[int] = tuple(at)) -> Column:
+            return F.array(*[F.get(c, F.lit(i)) for i in at]).alias(c)
+
+        sub = materialize(mine.select(*[pick(c) if c in ("x", "z") else c for c in mine.columns]), "ablation_rows")
+        train, test = sub.filter("role = 'train'"), sub.filter("role = 'test'")
+        by = ["model", "point"]
+        for spec in others:
+            fits = fit_groups(spec, train, "fold", label)
+            pred = materialize(predictions(fits, test, [*keys, "y"]), "ablation_predictions")
+            s = spearman(pred, [*by, "fold"], "pred", "y")
+            per = s.groupBy(*by).agg(F.avg(F.when(F.col("fold") != final, F.col("spearman"))).alias("cv_spearman"), F.max(F.when(F.col("fold") == final, F.col("spearman"))).alias("test_spearman"))
+            own = predictions({f: m for f, m in fits.items() if f[0] == final}, train.filter(F.col("fold") == final), keys)
+            flat = own.groupBy(*by).agg((F.stddev_pop("pred") < mt.DEGENERATE_STD).cast("int").alias("degenerate"))
+            parts.append(_best_of_sets(per.join(flat, by).withColumns({"feature_set": F.lit(name), "n_features": F.lit(len(at))})))
+    return _union(parts)
+
+
+def grid_predictions(specs: Sequence[Spec], frames: DataFrame, folds: Sequence[int], keys: Sequence[str], label: str = "y_fit", both_sides: bool = False, y: str = "y") -> DataFrame:
     """Predictions of every (model, grid point, fold): columns model, point, fold, role, pred."""
-    parts = []
-    for fold in folds:
-        mine = frames.filter(F.col("fold") == fold)
-        train, test = mine.filter("role = 'train'"), mine.filter("role = 'test'")
-        for spec in specs:
-            for p in spec.points():
-                m = fit(spec, p, train, label)
-                rows = mine if both_sides else test
-                got = m.predict(rows.select(*keys, "fold", "role", "y", "x", "z"))
-                parts.append(got.select(*keys, "fold", "role", "y", "pred", F.lit(spec.name).alias("model"), F.lit(str(p)).alias("point")))
-    return materialize(_union(parts), "grid_predictions")
+    mine = frames.filter(F.col("fold").isin(list(folds)))
+    train, rows = mine.filter("role = 'train'"), mine if both_sides else mine.filter("role = 'test'")
+    keep = [*keys, "role", y]
+    return materialize(_union([predictions(fit_groups(spec, train, "fold", label), rows, keep) for spec in specs]), "grid_predictions")
 
 
 def grid_search(specs: Sequence[Spec], frames: DataFrame, folds: Sequence[int], keys: Sequence[str]) -> DataFrame:
@@ -235,26 +342,25 @@ def final_ranking(pred: DataFrame, trained: DataFrame, meta: DataFrame, entity:
     )
 
 
-def learning_curve(spec: Spec, params: Mapping, prefix_frames: Callable[[int, int, int], tuple[DataFrame, DataFrame]], n: int, points: int = 8, val_frac: float = 0.2, gap: int = mt.FOLD_GAP, min_rows: int = 60) -> DataFrame:
-    """Train on expanding prefixes of the time line, validate on the fixed last slice.
-
-    ``prefix_frames(k, lo, n)`` returns prepared (train, validation) rows for the first ``k``
-    positions and positions ``lo``..``n``.
-    """
+def curve_sizes(n: int, points: int = 8, val_frac: float = 0.2, gap: int = mt.FOLD_GAP, min_rows: int = 60) -> tuple[list[int], int]:
+    """Sizes of the growing prefixes of a time line of ``n`` rows, and where the fixed last slice starts."""
     n_val = int(n * val_frac)
     pool = n - n_val - gap
+    return [k for frac in np.linspace(0.15, 1.0, points) for k in [int(pool * frac)] if k >= min_rows], n - n_val
+
+
+def learning_curve(choices: Sequence[tuple[Spec, Mapping]], frames: DataFrame, sizes: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """Error and rank correlation of each model on the prefix it was trained on and on the fixed last slice.
+
+    ``frames`` are prepared rows with fold (number of the size) and role: train the prefix, test the slice.
+    """
     parts = []
-    for frac in np.linspace(0.15, 1.0, points):
-        k = int(pool * frac)
-        if k < min_rows:
-            continue
-        train, val = prefix_frames(k, n - n_val, n)
-        m = fit(spec, params, train)
-        for side, rows in (("train", train), ("val", val)):
-            parts.append(m.predict(rows).select("y", "pred", F.lit(k).alias("n_train"), F.lit(side).alias("side")))
-    pred = materialize(_union(parts), "curve_predictions")
-    by = ["n_train", "side"]
-    return mt.rmse(pred, "pred", "y", by).join(spearman(pred, by, "pred", "y").select(*by, "spearman"), by)
+    for spec, params in choices:
+        parts.append(grid_predictions([at_point(spec, params)], frames, range(len(sizes)), keys, both_sides=True))
+    pred = _union(parts)
+    by = ["model", "fold", "role"]
+    got = mt.rmse(pred, "pred", "y", by).join(spearman(pred, by, "pred", "y").select(*by, "spearman"), by)
+    return got.withColumn("n_train", F.array(*[F.lit(k) for k in sizes])[F.col("fold")]).drop("fold")
 
 
 def permutation_importance(fits: Mapping[int, Fitted], frames: DataFrame, names: Sequence[str], keys: Sequence[str], by: Sequence[str], repeats: int = 5) -> DataFrame:
@@ -262,22 +368,33 @@ def permutation_importance(fits: Mapping[int, Fitted], frames: DataFrame, names:
 
     A repeat pairs every row with a donor row: the row at position p in key order takes the
     value of the row at position p in the order of a seeded hash. Both orders are computed
-    with bucketed positions, so no fold is sorted in one task.
+    with bucketed positions, so no fold is sorted in one task. A pair of row and donor is read once
+    and scored for all features; only its predictions leave the task. Models must score arrays.
     """
-    arr = "z" if next(iter(fits.values())).spec.scaled else "x"
+    models = {f: m.model for f, m in fits.items()}
+    arr = next(iter(fits.values())).spec.source
     test = frames.filter(F.col("role") == "test").filter(F.col("fold").isin(list(fits)))
     own = materialize(order_positions(test, ["fold"], list(by), "_p").drop("_p_n"), "fold_positions")
-    base = _union([m.predict(own.filter(F.col("fold") == f)) for f, m in fits.items()])
-    base_s = spearman(base, ["fold"], "pred", "y").select("fold", F.col("spearman").alias("base"))
     again = test.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     mixed = again.withColumn("_h", F.xxhash64(F.col("repeat") + SEED, *keys))
     donor = order_positions(mixed, ["fold", "repeat"], ["_h", *by], "_p").select("fold", "repeat", "_p", F.col(arr).alias("_other"))
-    pairs = materialize(own.join(donor, ["fold", "_p"]), "permuted_rows")
-    each = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
-    swapped = each.withColumn(arr, F.transform(arr, lambda v, i: F.when(i == F.col("_j"), F.col("_other")[i]).otherwise(v)))
-    pred = _union([m.predict(swapped.filter(F.col("fold") == f)) for f, m in fits.items()])
-    pred = materialize(pred.select("fold", "_j", "repeat", "pred", "y"), "permuted_predictions")
-    s = spearman(pred, ["fold", "_j", "repeat"], "pred", "y")
+    pairs = own.join(donor, ["fold", "_p"]).select("fold", "repeat", F.col("y").cast("double").alias("y"), F.col(arr).alias("_own"), "_other")
+
+    def swapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for fold, part in b.groupby("fold"):
+                x, other = np.stack(part["_own"].to_numpy()), np.stack(part["_other"].to_numpy())
+                slim, m = part[["fold", "repeat", "y"]], models[fold]
+                yield slim.assign(_j=-1, pred=m.array(x))  # as it is
+                for j in range(len(names)):
+                    held = x[:, j].copy()
+                    x[:, j] = other[:, j]
+                    yield slim.assign(_j=j, pred=m.array(x))
+                    x[:, j] = held
+
+    pred = materialize(pairs.mapInPandas(swapped, "fold int, repeat int, y double, _j int, pred double"), "permuted_predictions")
+    s = spearman(pred, ["fold", "_j", "repeat"], "pred", "y").select("fold", "_j", "repeat", "spearman")
+    base = s.filter("_j = -1").select("fold", "repeat", F.col("spearman").alias("base"))
     name = F.array(*[F.lit(x) for x in names])
-    drop = s.join(base_s, "fold").groupBy("_j").agg(F.avg(F.col("base") - F.col("spearman")).alias("importance"))
-    return drop.select(name[F.col("_j")].alias("feature"), "importance")
+    drop = s.filter("_j >= 0").join(base, ["fold", "repeat"]).groupBy("_j").agg(F.avg(F.col("base") - F.col("spearman")).alias("importance"))
+    return drop.select(F.get(name, F.col("_j")).alias("feature"), "importance")

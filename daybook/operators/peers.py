@@ -47,11 +47,11 @@ def rule_table(spark, rules: Mapping[object, Mapping[str, Sequence[str]]]) -> Da
 
 
 def sub_scores(pct: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean of the available percentiles per sub-score; the rule table is a fixed literal.
+    """Mean of the available percentiles per sub-score.
 
     Means are cut at 12 decimals so that summation order cannot break ties between reports.
     """
-    hit = pct.join(F.broadcast(rules), ["sector", "kpi_name"])
+    hit = pct.join(rules, ["sector", "kpi_name"])
     return hit.groupBy(*keys).agg(
         *[F.round(F.avg(F.when(F.col("sub_score") == s, F.col("pct"))), 12).alias(f"{s}_score") for s in SUBSCORES]
     )

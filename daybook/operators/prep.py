@@ -120,12 +120,13 @@ def fit_frame(train: DataFrame, features: Sequence[str], clipped: Sequence[str],
     long = cut.select(*by, F.posexplode(F.transform(x, lambda v, i: clip(v, F.col("lo")[i], F.col("hi")[i]))).alias("i", "v"))
     med = quantiles(long, [*by, "i"], "v", {"med": 0.5})
     filled = long.groupBy(*by, "i").agg(
-        F.count("v").alias("n"), F.count(F.lit(1)).alias("n_all"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")
+        F.count("v").alias("n"), F.count(F.lit(1)).alias("n_all"), F.avg("v").alias("a"), F.var_pop("v").alias("s2")
     ).join(med, [*by, "i"], "left")
-    m = F.coalesce("med", F.lit(0.0))
+    m, a = F.coalesce("med", F.lit(0.0)), F.coalesce("a", F.lit(0.0))
     gone = F.col("n_all") - F.col("n")
-    mean = (F.coalesce("s", F.lit(0.0)) + gone * m) / F.col("n_all")
-    var = (F.coalesce("ss", F.lit(0.0)) + gone * m * m) / F.col("n_all") - mean * mean
+    mean = (F.col("n") * a + gone * m) / F.col("n_all")
+    # centred parts, so that a large offset costs no digits
+    var = (F.col("n") * (F.coalesce("s2", F.lit(0.0)) + F.pow(a - mean, 2)) + gone * F.pow(m - mean, 2)) / F.col("n_all")
     sd = F.when(var > 1e-18, F.sqrt(var)).otherwise(1.0)
     per = filled.select(*by, "i", m.alias("med"), mean.alias("mean"), sd.alias("sd"), names[F.col("i")].alias("f")).collect()
     at = {(tuple(r[b] for b in by), r.i): r for r in per}

@@ -37,22 +37,25 @@ def pivot_kpis(long: DataFrame, keys: Sequence[str] = KEYS, kpis: Sequence[str]
 def asof_score(spine: DataFrame, scores: DataFrame, fallback_source: str, entity: str = "entity", at: str = "report_date", day: str = "score_date", value: str = "score") -> DataFrame:
     """Score of the same day, else the newest ``fallback_source`` score filed on or before.
 
-    Both tables share one time line per entity, scores before reports on the same day; a
-    growing frame carries the last score forward. ``scores`` holds one row per (entity, day).
+    The days that are asked for and the scores share one time line per entity, scores before reports on the same day; a
+    growing frame carries the last score forward. ``scores`` holds one row per (entity, day), so a line is bounded by the
+    calendar, however many reports there are.
     """
-    r = spine.withColumn("_t", F.col(at)).withColumn("_is_row", F.lit(1))
+    r = spine.filter(F.col(at).isNotNull()).select(F.col(entity).alias("_e"), F.col(at).alias("_t")).distinct().withColumn("_is_row", F.lit(1))
     sc = scores.select(
-        entity, F.col(day).alias("_t"), F.lit(0).alias("_is_row"),
+        F.col(entity).alias("_e"), F.col(day).alias("_t"), F.lit(0).alias("_is_row"),
         F.struct(F.col(day).alias("d"), F.col(value).alias("v")).alias("_any"),
         F.when(F.col("source") == fallback_source, F.struct(F.col(day).alias("d"), F.col(value).alias("v"))).alias("_fb"),
     )
-    w = Window.partitionBy(entity).orderBy("_t", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (
+    w = Window.partitionBy("_e").orderBy("_t", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    line = (
         r.unionByName(sc, allowMissingColumns=True)
         .withColumn("_any", F.last("_any", ignorenulls=True).over(w))
         .withColumn("_fb", F.last("_fb", ignorenulls=True).over(w))
         .filter("_is_row = 1")
     )
+    met = F.col(entity).eqNullSafe(F.col("_e")) & (F.col(at) == F.col("_t"))
+    hit = spine.join(line.select("_e", "_t", "_any", "_fb"), met, "left")
     exact = F.col("_any.d") == F.col(at)
     kind = F.when(exact, "exact").when(F.col("_fb").isNotNull(), "asof")
     return hit.select(

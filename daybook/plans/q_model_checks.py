@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from daybook.operators import metrics as mt
-from daybook.operators import models, stats
+from daybook.operators import models, quality, stats, svm
 from daybook.plans import fixtures as fx
+from daybook.plans import q_learn as qn
 from daybook.plans import q_models as qm
 from daybook.plans.oracle import cte, sql
-from daybook.plans.q_learn import SPLIT
+from daybook.plans.q_learn import SPLIT, SPLIT_PERIOD
+from daybook.plans.q_stats import spearman_sql
 from daybook.plans.q_table import KEYS
 from daybook.plans.registry import query
 
@@ -25,7 +27,7 @@ def small_frame(s, d, *features):
 
 
 def coefficients(s, d, name, params, *features):
-    m = models.fit(qm.roster()[name], params, small_frame(s, d, *features))
+    m = models.fit(qm.ROSTER[name], params, small_frame(s, d, *features))
     return m.importance(list(features)).select("feature", F.round("coefficient", 4).alias("coefficient"))
 
 
@@ -80,17 +82,19 @@ def l13c(s, d):
     """A forest averages training labels, so each prediction lies among them."""
     train = qm.side(s, d, qm.FINAL, "train")
     lo, hi = train.agg(F.min("y_fit"), F.max("y_fit")).first()
-    m = models.fit(qm.roster()["RandomForest"], {"max_depth": 5, "min_leaf": 20, "features": "sqrt"}, train)
-    return m.predict(qm.side(s, d, qm.FINAL, "test")).select("entity", "report_date", F.col("pred").between(lo - 1e-9, hi + 1e-9).alias("ok"))
+    return qm.l13(s, d).select("entity", "report_date", F.col("pred").between(lo - 1e-6, hi + 1e-6).alias("ok"))
 
 
 @query("l14_boosted_rows", sql(_TEST_KEYS, "el"))
 def l14c(s, d):
-    got = qm._test_predictions("BoostedTrees", {"max_depth": 2, "learning_rate": 0.05})(s, d)
-    return got.select("entity", "report_date", (F.abs("pred") < float("inf")).alias("ok"))
+    return qm.l14(s, d).select("entity", "report_date", (F.abs("pred") < float("inf")).alias("ok"))
 
 
-@query("l9_grid_shape", sql("select * from (values ('Ridge', 2, 1, true), ('Lasso', 2, 1, true)) t(model, points, best, in_range)"))
+def _values(rows) -> str:
+    return ", ".join(f"({', '.join(repr(v) if not isinstance(v, bool) else str(v).lower() for v in r)})" for r in rows)
+
+
+@query("l9_grid_shape", sql(f"select * from (values {_values((n, len(x.points()), 1, True) for n, x in qm.SEARCHED.items())}) t(model, points, best, in_range)"))
 def l9c(s, d):
     g = qm.l9(s, d)
     return g.groupBy("model").agg(F.count("*").cast("int").alias("points"), F.count_if("is_best").cast("int").alias("best"), F.bool_and(F.col("cv_mean").between(-1, 1)).alias("in_range"))
@@ -103,24 +107,28 @@ def l23c(s, d):
     return r.agg(F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.max("rank").alias("last_rank")).crossJoin(F.broadcast(both))  # one row
 
 
-_FRACS = ", ".join(repr(float(f)) for f in np.linspace(0.15, 1.0, 4))
+_FRACS = ", ".join(repr(float(f)) for f in np.linspace(0.15, 1.0, 8))
 
 
 @query(
     "l26_prefix_sizes",
-    sql(f"""select cast(floor(pool * f) as int) n_train, 2 sides from (select n - cast(floor(n * 0.2) as bigint) - {mt.FOLD_GAP} pool from (select count(*) n from el where report_date <= date '{SPLIT}')),
- (select unnest([{_FRACS}]::double[]) f) where floor(pool * f) >= 60""", "el"),
+    sql(f"""select model, cast(floor(pool * f) as int) n_train, 2 sides from (select n - cast(floor(n * 0.2) as bigint) - {mt.FOLD_GAP} pool from (select count(*) n from el where report_date <= date '{SPLIT}')),
+ (select unnest([{_FRACS}]::double[]) f), (select unnest({qm.CURVE!r}) model) where floor(pool * f) >= 60""", "el"),
 )
 def l26c(s, d):
-    return qm.l26(s, d).groupBy("n_train").agg(F.countDistinct("side").cast("int").alias("sides"))
+    return qm.l26(s, d).groupBy("model", "n_train").agg(F.countDistinct("role").cast("int").alias("sides"))
+
+
+_CLASS_POINTS = [(x, n, len(c.points()), True) for x in qm.SCHEMES for n, c in qm.CLASSIFIERS.items()]
 
 
-@query("l32_fold_count", sql(f"select cast({mt.N_FOLDS} as bigint) n_folds, true in_range"))
+@query("l32_fold_count", sql(f"select * from (values {_values(_CLASS_POINTS)}) t(scheme, model, points, in_range)"))
 def l32c(s, d):
-    return qm.l32(s, d).select("n_folds", F.col("auc_mean").between(0, 1).alias("in_range"))
+    got = qm.l32(s, d)
+    return got.groupBy("scheme", "model").agg(F.count("*").cast("int").alias("points"), F.bool_and(F.col("auc_mean").between(0, 1) & F.col("n_folds").between(1, mt.N_FOLDS)).alias("in_range"))
 
 
-@query("l25_two_sides", sql("select * from (values ('Ridge', true), ('Lasso', true)) t(model, ok)"))
+@query("l25_two_sides", sql(f"select * from (values {_values((n, True) for n in models.roster())}) t(model, ok)"))
 def l25c(s, d):
     """Gaps are differences of the two sides, up to their rounding."""
     g = qm.l25(s, d)
@@ -131,3 +139,96 @@ def l25c(s, d):
 @query("b2_universe_rows", sql(f"select entity, report_date, true ok from md where report_date > date '{SPLIT}' and frequency = 'quarterly' and ret is not null and first_obs = 0", "md"))
 def b2c(s, d):
     return qm.b2(s, d).select("entity", "report_date", (F.abs("pred") < float("inf")).alias("ok"))
+
+
+def fold_frames(s, d):
+    """Folds and the final split of the predictions, with two features and the raw label."""
+    p = fx.predictions(s, d)
+    keep = ["entity", "period", "y", "pred_a", "pred_b"]
+    cv = mt.time_folds(p, "rd", ["entity"]).select(*keep, "fold", "role")
+    last = p.select(*keep, F.lit(qm.FINAL).alias("fold"), F.when(F.col("period") <= SPLIT_PERIOD, "train").otherwise("test").alias("role"))
+    x = F.array("pred_a", "pred_b")
+    return cv.unionByName(last).select("entity", "period", "fold", "role", "y", x.alias("x"), x.alias("z"), F.col("y").alias("y_fit"))
+
+
+_ONE = ["pred_a", "pred_b"]
+cte("fo6", f"select entity, period, y, pred_a, pred_b, cast(fold as int) fold, role from fo union all select entity, period, y, pred_a, pred_b, {qm.FINAL}, case when period <= {SPLIT_PERIOD} then 'train' else 'test' end from f6", "fo", "f6")
+cte("fo6t", "select * from fo6 where role = 'test'", "fo6")
+cte("fo6s", spearman_sql("fold", _ONE, "fo6t"), "fo6t")
+cte("fo6g", " union all ".join(f"select fold, '{c}' model, sign(covar_pop({c}, y)) g from fo6 where role = 'train' group by 1" for c in _ONE), "fo6")
+
+
+@query(
+    "l24_single_feature_sets",
+    sql(f"""select model feature_set, round(avg(g * spearman) filter (where fold <> {qm.FINAL}), 4) cv_spearman, round(max(g * spearman) filter (where fold = {qm.FINAL}), 4) test_spearman, 1 n_features, 0 degenerate
+ from fo6s join fo6g using (fold, model) group by 1""", "fo6s", "fo6g"),
+)
+def l24c(s, d):
+    """A ridge on one feature ranks like that feature, up and down as they vary together in training."""
+    got = models.linear_ablation([qm.ROSTER["Ridge"]], fold_frames(s, d), {c: [i] for i, c in enumerate(_ONE)}, qm.CV, qm.FINAL, ["entity", "period"])
+    return got.select("feature_set", F.round("cv_spearman", 4).alias("cv_spearman"), F.round("test_spearman", 4).alias("test_spearman"), "n_features", "degenerate")
+
+
+@query("l15_svr_optimality", sql(f"select fold, n_train, true support, true gap from (select fold, count(*) n_train from fo6 where role = 'train' and fold < {qm.FINAL} group by 1)", "fo6"))
+def l15c(s, d):
+    """No other weights are better: the residuals' signs give a dual solution of nearly the same value."""
+    rows = fold_frames(s, d).filter((F.col("role") == "train") & (F.col("fold") < qm.FINAL))
+    fits = svm.machines(rows, [{"C": 0.01}], keys=["entity", "period"], size=0)
+    got = models.linear.scores(rows.withColumn("f", F.col("z")), {((g,), "svr"): m for (g, _), m in fits.items()}, ["y", "f"])
+    r = F.col("pred") - F.col("y")
+
+    def slope(t):
+        return F.least(F.greatest(t / svm.WIDTHS[-1], F.lit(0.0)), F.lit(1.0))
+
+    a = got.withColumn("a", 0.01 * (slope(-r - svm.EPSILON) - slope(r - svm.EPSILON))).withColumn("over", F.greatest(F.abs(r) - svm.EPSILON, F.lit(0.0)))
+    sums = a.groupBy("fold").agg(
+        F.count("*").alias("n_train"), F.sum("over").alias("over"), F.sum(F.col("a") * F.col("y")).alias("ay"), F.sum(F.abs("a")).alias("abs"), F.sum("a").alias("a"),
+        *[F.sum(F.col("a") * F.get("f", F.lit(i))).alias(f"w{i}") for i in range(2)],
+    )
+    ww = F.col("w0") * F.col("w0") + F.col("w1") * F.col("w1")
+    w = s.createDataFrame([(g, float(m.weight @ m.weight)) for (g, _), m in fits.items()], "fold int, ww double")
+    primal, dual = F.col("ww") / 2 + 0.01 * F.col("over"), F.col("ay") - svm.EPSILON * F.col("abs") - ww / 2
+    return sums.join(w, "fold").select("fold", "n_train", (F.abs("a") < 0.05).alias("support"), (F.abs(primal - dual) < 0.02 * primal).alias("gap"))
+
+
+@query("l22_importance_identities", sql(f"select * from (values {_values((n, 48, n in ('RandomForest', 'BoostedTrees')) for n in models.roster() if n != 'KernelSVR')}) t(model, features, is_share)"))
+def l22c(s, d):
+    """Tree importances are shares, coefficients are not."""
+    got = qm.l22(s, d).groupBy("model").agg(F.count("*").cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-3).alias("is_share"))
+    return got.withColumn("is_share", F.when(F.col("model").isin("RandomForest", "BoostedTrees"), F.col("is_share")).otherwise(False))
+
+
+@query("l27_unused_feature", sql("select 'pred_b' as feature, 0.0::double importance"))
+def l27c(s, d):
+    """A feature that the model gives no weight has no importance."""
+    rows = fold_frames(s, d).filter(F.col("fold") < qm.FINAL).withColumn("z", F.array(F.get("z", F.lit(0)), F.get("z", F.lit(1)) * 0.0))
+    fits = {g: m for (g, _), m in models.fit_groups(models.at_point(qm.ROSTER["Ridge"], {"alpha": 1}), rows.filter("role = 'train'")).items()}
+    got = models.permutation_importance(fits, rows, _ONE, ["entity", "period"], ["period", "entity"], repeats=2)
+    return got.filter("feature = 'pred_b'").select("feature", F.round("importance", 6).alias("importance"))
+
+
+_THIRDS = "quantile_cont(sharpe_raw, 1 / 3.0) lo, quantile_cont(sharpe_raw, 2 / 3.0) hi"
+
+
+@query(
+    "l31_label_counts",
+    sql(f"""select 'train_fitted' scheme, count(*) filter (where sharpe_raw <= lo) n_neg, count(*) filter (where sharpe_raw >= hi) n_pos from el, (select {_THIRDS} from el where report_date <= date '{SPLIT}')
+ where report_date > date '{SPLIT}'
+ union all select 'within_period', count(*) filter (where sharpe_raw <= lo), count(*) filter (where sharpe_raw >= hi) from el join (select period, {_THIRDS} from el where report_date > date '{SPLIT}' group by 1 having count(*) >= {mt.MIN_TERCILE_ROWS}) using (period)
+ where report_date > date '{SPLIT}'""", "el"),
+)
+def l31c(s, d):
+    """Labels of the test rows under both schemes."""
+    parts = [qm.labelled(s, d, x).filter(f"fold = {qm.FINAL} and role = 'test'").withColumn("scheme", F.lit(x)) for x in qm.SCHEMES]
+    return models._union(parts).groupBy("scheme").agg(F.count_if(F.col("label") == 0).alias("n_neg"), F.count_if(F.col("label") == 1).alias("n_pos"))
+
+
+_SPARSE = (ALPHA, 1e9)
+
+
+@query("v9_sparse_models", sql(f"select alpha, greatest(abs(say) - alpha, 0) = 0 ok from twof, (select unnest({list(_SPARSE)}::double[]) alpha)", "twof"))
+def v9s(s, d):
+    """The null result also says that a sparse model keeps no coefficient."""
+    scores = qn.cv_results(s, d).select(F.col("cv_mean").alias("value"))
+    fits = {a: models.fit(qm.ROSTER["Lasso"], {"alpha": a}, small_frame(s, d, "pred_a")) for a in _SPARSE}
+    return models._union([quality.inv_null_result(scores, 1.5, m.importance(["pred_a"])).select(F.lit(a).alias("alpha"), "ok") for a, m in fits.items()])

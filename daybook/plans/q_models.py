@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.exprs import r6
-from daybook.functions.ranking import order_positions
+from daybook.functions.ranking import order_positions, quantiles, spearman
 from daybook.operators import backtest as bt
-from daybook.operators import kpi, models, prep
+from daybook.operators import artefacts, kpi, models, prep
 from daybook.operators import metrics as mt
 from daybook.plans import stages as st
 from daybook.plans.q_learn import CLIPPED, NAMES, split_date
 from daybook.plans.q_stats import eligible
 from daybook.plans.q_table import KEYS
 from daybook.plans.registry import query
-from daybook.session import stage
+from daybook.session import stage, stage_folder
 
 CV = list(range(mt.N_FOLDS))
 FINAL, ALL = 5, 6  # fold numbers of train+val -> test and all eligible -> latest rows
-TREES, ROUNDS, FOURIER = 20, 10, 100  # sized for a check run; the roster's defaults are larger
+BEST = 3  # members of the ensemble
 
 
 def role_rows(s, d):
@@ -42,33 +43,37 @@ def _frames(s, d, names, clipped):
 
 
 def frames(s, d):
-    return stage(s, d, "model_frames", lambda: _frames(s, d, NAMES, CLIPPED))
+    return stage(s, d, "model_frames", lambda: _frames(s, d, NAMES, CLIPPED), by=["fold", "role"])
 
 
 def side(s, d, fold, role):
     return frames(s, d).filter((F.col("fold") == fold) & (F.col("role") == role))
 
 
-def roster():
-    return models.roster(TREES, ROUNDS, FOURIER)
+ROSTER = models.roster()
+# The search of the registered queries takes forests of one depth: at sf0.01 one fit of 400 trees takes 4 to 11 seconds
+# at depth 3 or 5 and 25 to 109 without a limit, and the whole grid has 60 fits (README). The roster keeps the whole grid.
+SEARCHED = {**ROSTER, "RandomForest": models.with_grid(ROSTER["RandomForest"], max_depth=[3])}
 
 
-def narrow(spec, **grid):
-    """The same model on a smaller grid."""
-    return models.Spec(spec.name, spec.build, grid, spec.scaled, spec.fourier, spec.classifier)
+def grid(s, d) -> DataFrame:
+    """Fold scores of every grid point of the roster; everything that needs tuned models starts here."""
+    return stage(s, d, "grid_search", lambda: models.grid_search(list(SEARCHED.values()), frames(s, d), CV, KEYS))
+
+
+def best_points(s, d) -> dict[str, dict]:
+    best = {r.model: r.point for r in grid(s, d).filter("is_best").collect()}  # one row per model
+    return {name: next(p for p in spec.points() if str(p) == best[name]) for name, spec in ROSTER.items()}
 
 
 @query("l9_grid_search")
 def l9(s, d):
-    r = roster()
-    specs = [narrow(r["Ridge"], alpha=[1, 100]), narrow(r["Lasso"], alpha=[0.01, 0.1])]
-    out = models.grid_search(specs, frames(s, d), CV, KEYS)
-    return out.select("model", "point", F.round("cv_mean", 4).alias("cv_mean"), F.round("cv_std", 4).alias("cv_std"), "is_best")
+    return grid(s, d).select("model", "point", F.round("cv_mean", 4).alias("cv_mean"), F.round("cv_std", 4).alias("cv_std"), "is_best")
 
 
 def _coefficients(name, params):
     def run(s, d):
-        m = models.fit(roster()[name], params, side(s, d, FINAL, "train"))
+        m = models.fit(ROSTER[name], params, side(s, d, FINAL, "train"))
         return m.importance(NAMES).select("model", "feature", r6("coefficient").alias("coefficient"))
     return run
 
@@ -80,138 +85,222 @@ query("l12_elastic_net")(_coefficients("ElasticNet", {"alpha": 0.01, "l1_ratio":
 
 def _test_predictions(name, params):
     def run(s, d):
-        m = models.fit(roster()[name], params, side(s, d, FINAL, "train"))
-        return m.predict(side(s, d, FINAL, "test")).select(*KEYS, r6("pred").alias("pred"))
+        def build():
+            m = models.fit(ROSTER[name], params, side(s, d, FINAL, "train"))
+            return m.predict(side(s, d, FINAL, "test")).select(*KEYS, "pred")
+        return stage(s, d, f"test_predictions_{name}", build).select(*KEYS, r6("pred").alias("pred"))
     return run
 
 
-query("l13_random_forest")(_test_predictions("RandomForest", {"max_depth": 5, "min_leaf": 20, "features": "sqrt"}))
-query("l14_boosted_trees")(_test_predictions("BoostedTrees", {"max_depth": 2, "learning_rate": 0.05}))
+l13 = query("l13_random_forest")(_test_predictions("RandomForest", {"max_depth": 5, "min_leaf": 20, "features": "sqrt"}))
+l14 = query("l14_boosted_trees")(_test_predictions("BoostedTrees", {"max_depth": 2, "learning_rate": 0.05, "reg_lambda": 1}))
 query("l15_kernel_svr")(_test_predictions("KernelSVR", {"C": 1}))
 
-MEMBERS = {
-    "KernelSVR": {"C": 10}, "RandomForest": {"max_depth": models.UNLIMITED, "min_leaf": 20, "features": 0.5},
-    "BoostedTrees": {"max_depth": 2, "learning_rate": 0.05},
-}
+
+def tuned(s, d) -> str:
+    """Folder with the tuned models, refitted on train+val, and the preparation of that split."""
+    def build(path):
+        train = side(s, d, FINAL, "train")
+        fits = [models.fit(ROSTER[n], p, train) for n, p in best_points(s, d).items()]
+        base = prep.build_features(eligible(s, d), [*KEYS, "sharpe_raw"]).filter(F.col("report_date") <= split_date())
+        artefacts.save(s, path, fits, prep.fit_frame(base, NAMES, CLIPPED, y="sharpe_raw"))
+    return stage_folder(s, d, "tuned_models", build)
+
+
+def selected(s, d) -> DataFrame:
+    """One row per model: scores of its best point, the constant-model flag, test scores, and whether it is a member."""
+    def build():
+        frozen = artefacts.load(s, tuned(s, d), ROSTER)
+        both = models.long_predictions(frozen.members, frames(s, d).filter(F.col("fold") == FINAL), [*KEYS, "period", "role", "y"])
+        flags = mt.degenerate(both.filter("role = 'train'"), "pred")
+        test = both.filter("role = 'test'")
+        scores = spearman(test, ["model"], "pred", "y").select("model", F.col("spearman").alias("test_spearman"))
+        cv = grid(s, d).filter("is_best").select("model", "point", "cv_mean", "cv_std").join(flags, "model")
+        member = mt.best_models(cv, BEST).withColumn("member", F.lit(True))
+        return cv.join(scores, "model").join(mt.rmse(test, "pred", "y"), "model").join(member, "model", "left").withColumn("member", F.coalesce("member", F.lit(False)))
+    return stage(s, d, "selected_models", build)
+
+
+def members(s, d) -> list[str]:
+    return [r.model for r in selected(s, d).filter("member").orderBy(F.col("cv_mean").desc(), "model").collect()]  # three
+
+
+@query("l17_selected_models")
+def l17s(s, d):
+    """Search, refit, flags, best three and one-shot test scores."""
+    got = selected(s, d)
+    return got.select("model", "point", *[F.round(c, 4).alias(c) for c in ("cv_mean", "cv_std", "insample_pred_std", "test_spearman", "rmse")], "degenerate", "member")
+
+
+@query("l17_test_ensemble")
+def l17t(s, d):
+    """The selected members and their mean on the test rows."""
+    frozen = artefacts.load(s, tuned(s, d), ROSTER, members(s, d))
+    rows = prep.build_features(eligible(s, d), [*KEYS, "sharpe_raw"]).filter(F.col("report_date") > split_date())
+    out = frozen.predict(rows, NAMES, KEYS)
+    return out.select(*KEYS, r6("pred").alias("pred"))
 
 
 @query("l22_importances")
 def l22(s, d):
-    r, train = roster(), side(s, d, FINAL, "train")
-    a = models.fit(r["Ridge"], {"alpha": 100}, train).importance(NAMES)
-    b = models.fit(r["RandomForest"], MEMBERS["RandomForest"], train).importance(NAMES)
-    return a.unionByName(b).select("model", "feature", r6("importance").alias("importance"))
+    """Weights of the tuned models that have one per feature."""
+    fits = [f for f in artefacts.load(s, tuned(s, d), ROSTER).members if f.spec.name != "KernelSVR"]
+    return models._union([f.importance(NAMES) for f in fits]).select("model", "feature", r6("importance").alias("importance"))
 
 
 @query("l23_final_ranking")
 def l23(s, d):
+    """The members, refitted on all eligible rows, rank each entity's latest row."""
     train, rows = side(s, d, ALL, "train"), side(s, d, ALL, "test")
-    fits = [models.fit(roster()[n], p, train) for n, p in MEMBERS.items()]
-    pred = models.ensemble_predictions(fits, rows, ["entity", "report_date"])
+
+    def build():
+        best = best_points(s, d)
+        fits = [models.fit(ROSTER[n], best[n], train) for n in members(s, d)]
+        return models.ensemble_predictions(fits, rows, ["entity", "report_date"])
+
+    pred = stage(s, d, "latest_predictions", build)
     meta = st.modelling(s, d).groupBy("entity").agg(F.max("source").alias("source"))
     out = models.final_ranking(pred, train, meta)
     return out.select("entity", "report_date", r6("pred").alias("pred"), "out_of_training_dist", "prediction_only", "rank")
 
 
+SETS = {"subscores_only": prep.MODEL_SCORES, "kpis_only": prep.MODEL_KPIS, "full": prep.LEVELS}
+ABLATED = ["Ridge", "Lasso", "ElasticNet"]  # with KernelSVR it takes two minutes at sf0.01
+
+
 @query("l24_ablation")
 def l24(s, d):
-    """Fold Spearman per feature set and model; sets as columns."""
-    sets = {"subscores_only": prep.MODEL_SCORES, "kpis_only": prep.MODEL_KPIS, "full": prep.LEVELS}
-    r = roster()
-    specs = [narrow(r["Ridge"], alpha=[100]), narrow(r["KernelSVR"], C=[1])]
-    parts = []
-    for name, levels in sets.items():
-        at = [NAMES.index(f) for f in prep.feature_names(levels)]
-        def pick(c):
-            return F.array(*[F.col(c)[i] for i in at]).alias(c)
-        # preparation is per feature, so a subset of the prepared arrays is the same fit
-        sub = frames(s, d).select(*KEYS, "period", "role", "fold", "y", "y_fit", pick("x"), pick("z"))
-        parts.append(models.grid_search(specs, sub, CV, KEYS).withColumn("feature_set", F.lit(name)))
-    out = models._union(parts)
-    return out.groupBy("model").pivot("feature_set", list(sets)).agg(F.round(F.max("cv_mean"), 4))
+    """Per feature set and model: best fold Spearman, test Spearman of that point, and the constant-model flag."""
+    # preparation is per feature, so a subset of the prepared arrays is the same fit
+    subsets = {name: [NAMES.index(f) for f in prep.feature_names(levels)] for name, levels in SETS.items()}
+    out = models.ablation([ROSTER[n] for n in ABLATED], frames(s, d), subsets, CV, FINAL, KEYS)
+    return out.select("feature_set", "n_features", "model", *[F.round(c, 4).alias(c) for c in ("cv_spearman", "test_spearman")], "degenerate")
 
 
 @query("l25_train_vs_validation")
 def l25(s, d):
-    r = roster()
-    specs = [narrow(r["Ridge"], alpha=[100]), narrow(r["Lasso"], alpha=[0.01])]
-    out = models.train_vs_validation(specs, frames(s, d), CV, KEYS)
+    def build():
+        specs = [models.at_point(ROSTER[n], p) for n, p in best_points(s, d).items()]
+        return models.train_vs_validation(specs, frames(s, d), CV, KEYS)
+
+    out = stage(s, d, "train_vs_validation", build)
     return out.select("model", *[F.round(c, 4).alias(c) for c in out.columns if c != "model"])
 
 
-@query("l26_learning_curve")
-def l26(s, d):
+CURVE = ["Ridge", "RandomForest", "BoostedTrees"]
+
+
+def time_line(s, d):
     el = prep.build_features(eligible(s, d), [*KEYS, "sharpe_raw"]).filter(F.col("report_date") <= split_date())
-    lined = stage(
+    return stage(
         s, d, "time_line",
         lambda: order_positions(el.withColumn("_day", F.unix_date("report_date")), [], ["_day", "entity"], "pos").drop("_day"),
     )
+
+
+def curve_frames(s, d) -> tuple[DataFrame, list[int]]:
+    """Prefixes of the time line and its fixed last slice, each prefix prepared by its own rows: fold is the prefix."""
+    lined = time_line(s, d)
     n = lined.agg(F.max("pos_n")).first()[0]
+    sizes, start = models.curve_sizes(n)
 
-    def prefix(k, lo, hi):
-        train, val = lined.filter(F.col("pos") < k), lined.filter((F.col("pos") >= lo) & (F.col("pos") < hi))
-        params = prep.fit_frame(train, NAMES, CLIPPED, y="sharpe_raw")
-        a, b = (prep.apply_frame(x, params, NAMES, y="sharpe_raw", keep=KEYS) for x in (train, val))
-        return a, b
+    def build():
+        k = F.array(*[F.lit(x) for x in sizes])
+        each = lined.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))))
+        role = F.when(F.col("pos") < F.get(k, F.col("fold")), "train").when(F.col("pos") >= start, "test")
+        rows = each.withColumn("role", role).filter("role is not null")
+        params = prep.fit_frame(rows.filter("role = 'train'"), NAMES, CLIPPED, by=["fold"], y="sharpe_raw")
+        return prep.apply_frame(rows, params, NAMES, by=["fold"], y="sharpe_raw", keep=[*KEYS, "role"])
 
-    out = models.learning_curve(roster()["Ridge"], {"alpha": 100}, prefix, n, points=4)
-    return out.select("n_train", "side", F.round("rmse", 4).alias("rmse"), F.round("spearman", 4).alias("spearman"))
+    return stage(s, d, "curve_frames", build, by=["fold", "role"]), sizes
+
+
+@query("l26_learning_curve")
+def l26(s, d):
+    def build():
+        rows, sizes = curve_frames(s, d)
+        best = best_points(s, d)
+        return models.learning_curve([(ROSTER[n], best[n]) for n in CURVE], rows, sizes, KEYS)
+
+    out = stage(s, d, "learning_curve", build)
+    return out.select("model", "n_train", "role", F.round("rmse", 4).alias("rmse"), F.round("spearman", 4).alias("spearman"))
 
 
 @query("l27_permutation_importance")
 def l27(s, d):
     f = frames(s, d).withColumn("_day", F.unix_date("report_date"))
-    fits = {i: models.fit(roster()["Ridge"], {"alpha": 100}, f.filter((F.col("fold") == i) & (F.col("role") == "train"))) for i in CV}
+    one = models.at_point(ROSTER["KernelSVR"], best_points(s, d)["KernelSVR"])
+    fits = {g: m for (g, _), m in models.fit_groups(one, f.filter("role = 'train'").filter(F.col("fold").isin(CV))).items()}
     out = models.permutation_importance(fits, f, NAMES, KEYS, ["_day", "entity"], repeats=5)
     return out.withColumn("importance", F.round("importance", 6))
 
 
-def _labelled(df, fold):
-    """Top and bottom thirds by the training rows' bounds; the middle drops out."""
-    mine = df.filter(F.col("fold") == fold)
-    return mt.tercile_label(mine, mine.filter("role = 'train'"), "y").filter("label is not null")
+CLASSIFIERS = models.classifiers()
+CLASSIFIERS["RandomForest"] = models.with_grid(CLASSIFIERS["RandomForest"], max_depth=[3])  # as above
+CLASSIFIERS["BoostedTrees"] = models.with_grid(CLASSIFIERS["BoostedTrees"], max_depth=[2], learning_rate=[0.05])
+SCHEMES = ("train_fitted", "within_period")
 
 
-CLASSIFIER_POINTS = {"LogisticRegression": {"C": 0.1}, "RandomForest": {"max_depth": 3, "min_leaf": 20}, "BoostedTrees": {"max_depth": 2, "learning_rate": 0.05}, "KernelSVM": {"C": 1}}
+def labelled(s, d, scheme: str) -> DataFrame:
+    """Rows of the folds and the final split with ``label``: top and bottom thirds; the middle drops out.
 
+    train_fitted: by the bounds of the fold's own training rows. within_period: by rank within the period, train+val and test
+    apart.
+    """
+    def build():
+        rows = frames(s, d).filter(F.col("fold") <= FINAL)
+        if scheme == "train_fitted":
+            cut = quantiles(rows.filter("role = 'train'"), ["fold"], "y", {"_lo": 1 / 3, "_hi": 2 / 3})
+            return rows.join(cut, "fold").withColumn("label", F.when(F.col("y") >= F.col("_hi"), 1).when(F.col("y") <= F.col("_lo"), 0)).drop("_lo", "_hi").filter("label is not null")
+        final = rows.filter(F.col("fold") == FINAL).select(*KEYS, "period", "role", "y")
+        fixed = mt.within_period_tercile(final, "y", ["role", "period"]).select(*KEYS, "label")
+        return rows.join(fixed, KEYS).filter("label is not null")
+    return stage(s, d, f"labelled_{scheme}", build, by=["fold", "role"])
 
-@query("l31_classifiers")
-def l31(s, d):
-    rows = stage(s, d, "tercile_rows", lambda: _labelled(frames(s, d), FINAL))
-    cls = models.classifiers(TREES, ROUNDS, FOURIER)
-    parts = []
-    for n, p in CLASSIFIER_POINTS.items():
-        m = models.fit(cls[n], p, rows.filter("role = 'train'"), "label")
-        parts.append(m.predict(rows.filter("role = 'test'")).select("label", "pred", F.lit(n).alias("model")))
-    pred = models._union(parts)
-    out = mt.auc(pred, "label", "pred", ["model"]).join(mt.classification_metrics(pred, "label", "pred", by=["model"]), "model")
-    return out.select("model", *[F.round(c, 4).alias(c) for c in out.columns if c != "model"])
+
+def class_scores(s, d, scheme: str) -> DataFrame:
+    """Predictions of every classifier, grid point and fold on test rows."""
+    def build():
+        rows = labelled(s, d, scheme)
+        train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
+        # a fold whose training rows have one label only can't be fitted
+        both = [r[0] for r in train.groupBy("fold").agg(F.countDistinct("label").alias("n")).filter("n = 2").collect()]
+        train, test = (x.filter(F.col("fold").isin(both)) for x in (train, test))
+        parts = [models.predictions(models.fit_groups(spec, train, "fold", "label"), test, [*KEYS, "label"]) for spec in CLASSIFIERS.values()]
+        return models._union(parts)
+    return stage(s, d, f"class_scores_{scheme}", build)
+
+
+def fold_auc(s, d) -> DataFrame:
+    """Per scheme, model and point: mean and std of the fold AUC."""
+    parts = [class_scores(s, d, x).withColumn("scheme", F.lit(x)) for x in SCHEMES]
+    by = ["scheme", "model", "point"]
+    per = mt.auc(models._union(parts).filter(F.col("fold") < FINAL), "label", "pred", [*by, "fold"]).filter("auc is not null")
+    return per.groupBy(*by).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"), F.count("*").alias("n_folds"))
 
 
 @query("l32_fold_auc")
 def l32(s, d):
-    """Mean and std of the fold AUC; labels from each fold's own training bounds."""
-    spec = models.classifiers(TREES, ROUNDS, FOURIER)["LogisticRegression"]
-    rows = stage(s, d, "fold_tercile_rows", lambda: models._union([_labelled(frames(s, d), i) for i in CV]))
-    parts = []
-    for i in CV:
-        mine = rows.filter(F.col("fold") == i)
-        m = models.fit(spec, {"C": 0.1}, mine.filter("role = 'train'"), "label")
-        parts.append(m.predict(mine.filter("role = 'test'")).select("fold", "label", "pred"))
-    per = mt.auc(models._union(parts), "label", "pred", ["fold"]).filter("auc is not null")
-    return per.agg(F.round(F.avg("auc"), 4).alias("auc_mean"), F.round(F.stddev_pop("auc"), 4).alias("auc_std"), F.count(F.lit(1)).alias("n_folds"))
+    got = fold_auc(s, d)
+    return got.select("scheme", "model", "point", F.round("auc_mean", 4).alias("auc_mean"), F.round("auc_std", 4).alias("auc_std"), "n_folds")
+
+
+@query("l31_classifiers")
+def l31(s, d):
+    """Test metrics of each classifier at the point with the best fold AUC, for both label schemes."""
+    best = fold_auc(s, d).groupBy("scheme", "model").agg(F.min(F.struct((-F.col("auc_mean")).alias("m"), "point")).alias("b")).select("scheme", "model", "b.point")
+    test = models._union([class_scores(s, d, x).filter(F.col("fold") == FINAL).withColumn("scheme", F.lit(x)) for x in SCHEMES])
+    pred = test.join(F.broadcast(best), ["scheme", "model", "point"])  # one row per scheme and classifier
+    by = ["scheme", "model"]
+    out = mt.auc(pred, "label", "pred", by).join(mt.classification_metrics(pred, "label", "pred", by=by), by)
+    return out.select(*by, *[F.round(c, 4).alias(c) for c in out.columns if c not in by])
 
 
 @query("b2_frozen_ensemble")
 def b2(s, d):
-    """Fitted once on train+val, applied to the backtest universe."""
-    train = side(s, d, FINAL, "train")
+    """The stored members, fitted once on train+val, applied to the backtest universe."""
     md = st.modelling(s, d)
     uni = bt.universe(md.withColumn("rd", F.col("report_date")), split_date())
     raw = prep.build_features(uni, [*KEYS, "period", "sharpe_raw"])
-    base = prep.build_features(eligible(s, d), [*KEYS, "sharpe_raw"]).filter(F.col("report_date") <= split_date())
-    params = prep.fit_frame(base, NAMES, CLIPPED, y="sharpe_raw")
-    rows = prep.apply_frame(raw, params, NAMES, y="sharpe_raw", keep=[*KEYS, "period"])
-    fits = [models.fit(roster()[n], p, train) for n, p in MEMBERS.items()]
-    out = models.ensemble_predictions(fits, rows, [*KEYS, "period"])
+    out = artefacts.load(s, tuned(s, d), ROSTER, members(s, d)).predict(raw, NAMES, [*KEYS, "period"])
     return out.select(*KEYS, "period", r6("pred").alias("pred"))

@@ -239,12 +239,10 @@ def p11(s, d):
     return matched(s, d)
 
 
-
-
 @query(
     "p12_drop_empty_periods",
-    sql("""select entity, form, period_end, position, selection_status from f1l f where
- (entity, form, period_end) in (select (entity, form, period_end) from f1l where selection_status <> 'missing')""", "f1l"),
+    sql("""select entity, form, period_end, position, selection_status from f1l semi join
+ (select distinct entity, form, period_end from f1l where selection_status <> 'missing') k using (entity, form, period_end)""", "f1l"),
 )
 def p12(s, d):
     return mk.drop_empty_periods(fx.facts_long(s, d), ["entity", "form", "period_end"]).select("entity", "form", "period_end", "position", "selection_status")

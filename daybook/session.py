@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 _READY: set[str] = set()
+_SECONDS: dict[str, float] = {}  # what each stage took to build, without the stages it needed
+_INNER: list[float] = []
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -59,18 +62,39 @@ def _listing(spark: SparkSession, data_dir: str) -> str:
     return data_dir + "".join(sorted(f"/{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(path)))
 
 
-def stage(spark: SparkSession, data_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _stage_path(spark: SparkSession, data_dir: str, name: str) -> str:
+    tag = hashlib.sha1(_listing(spark, data_dir).encode()).hexdigest()[:12]
+    return f"{shared_root(spark)}/daybook/{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
+def stage(spark: SparkSession, data_dir: str, name: str, build: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Write ``build()`` once per application and state of the input folder, then read it back.
 
-    Later plans start from a Parquet table (statistics, column pruning, pushdown) and an
-    executor loss replays at most the step in flight, never the whole chain.
+    Later plans start from a Parquet table (statistics, column pruning, pushdown; with ``by`` also one folder per
+    value) and an executor loss replays at most the step in flight, never the whole chain.
     """
-    tag = hashlib.sha1(_listing(spark, data_dir).encode()).hexdigest()[:12]
-    path = f"{shared_root(spark)}/daybook/{spark.sparkContext.applicationId}/{tag}/{name}"
+    path = stage_folder(spark, data_dir, name, lambda p: build().write.mode("overwrite").partitionBy(*by).parquet(p))
+    return spark.read.parquet(path)
+
+
+def stage_folder(spark: SparkSession, data_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """A folder that ``build(path)`` fills once per application and state of the input folder."""
+    path = _stage_path(spark, data_dir, name)
     if path not in _READY:
-        build().write.mode("overwrite").parquet(path)
+        start = time.time()
+        _INNER.append(0.0)
+        build(path)
+        spent = time.time() - start
+        _SECONDS[name] = spent - _INNER.pop()
+        if _INNER:
+            _INNER[-1] += spent
         _READY.add(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def stage_seconds() -> dict[str, float]:
+    """Seconds that each stage has taken, each without the stages it needed."""
+    return dict(_SECONDS)
 
 
 def forget_stages() -> None:

@@ -35,8 +35,7 @@ def unpivot_statements(matrix: DataFrame, keys: Sequence[str], period_cols: Mapp
         [("".join(lb.lower().split()), p, i) for p, lbs in labels.items() for i, lb in enumerate(lbs)],
         "_label string, position string, _rank int",
     )
-    # the label list is a literal
-    found = long.filter(F.col("v").isNotNull()).join(F.broadcast(ranked), "_label")
+    found = long.filter(F.col("v").isNotNull()).join(ranked, "_label")
     best = found.groupBy(*keys, "period_end", "position").agg(F.min_by("v", "_rank").alias("v"))
     grid = long.select(*keys, "period_end").distinct().select(
         "*", F.explode(F.array(*[F.lit(p) for p in labels])).alias("position")

@@ -13,8 +13,8 @@ from daybook.operators import models, prep, quality, serve, stats
 from daybook.operators.label import forward_labels
 from daybook.session import scratch_path
 from daybook.streaming.bars import stream_weekly_bars
-from daybook.streaming.labels import stream_labels, time_line
-from daybook.streaming.upsert import compact, current, stream_upsert
+from daybook.streaming.labels import LATE, OUT, ROCKS, clock, run_labels, stream_session, time_line
+from daybook.streaming.upsert import current, manifest, paths, stream_upsert, write_batch
 
 D0 = dt.date(2020, 1, 1)
 
@@ -142,9 +142,28 @@ def test_stream_upsert_equals_batch_and_logs(spark):
     assert got == last
     changed = spark.read.parquet(f"{log}/restatements")
     assert changed.select("batch_id").distinct().count() == 2 and changed.filter("old_value = new_value").count() == 0
-    folded = scratch_path(spark, "folded")
-    compact(spark, target, folded, schema, key)
-    assert {(r.entity, r.kind): r.value for r in current(spark, folded, schema, key).collect()} == last
+
+
+def test_upsert_reads_a_base_and_few_deltas(spark):
+    """However many batches came before, a bucket is a base and fewer than ``fold`` deltas, and the logs stay right."""
+    rows = ticks(600)
+    target, log = (scratch_path(spark, n) for n in ("t", "l"))
+    key, last, changed = ["entity", "kind"], {}, 0
+    schema = spark.createDataFrame(rows[:1], TICK).schema
+    for n in range(12):
+        part = rows[50 * n : 50 * n + 50]
+        for _ in range(2 if n in (4, 5) else 1):  # a batch that is run again
+            write_batch(spark.createDataFrame(part, TICK), n, target, log, key, "value", "entity", ["ts", "event_id"], 4, fold=3)
+        new = {(r[0], r[3]): r[4] for r in part}
+        want = {(k, last[k], v) for k, v in new.items() if k in last and last[k] != v}
+        if n:
+            got = spark.read.parquet(f"{log}/restatements/batch_id={n}").collect()
+            assert {((r.entity, r.kind), r.old_value, r.new_value) for r in got} == want
+        changed, last = changed + len(want), {**last, **new}
+        held = manifest(spark, target)
+        assert all(len(d) < 3 for _, d in held.values()) and len(paths(target, held, held)) <= 3 * len(held)
+        assert {(r.entity, r.kind): r.value for r in current(spark, target, schema, key).collect()} == last
+    assert changed and any(base is not None for base, _ in held.values())
 
 
 def test_stream_bars_equal_batch(spark):
@@ -161,29 +180,60 @@ def test_stream_bars_equal_batch(spark):
     assert a == b and a
 
 
+LABELS = ["entity", "release_date", "t1_date", "t63_date", "ret", "vol", "sharpe", "status"]
+
+
+def run_parts(spark, line, parts, **options):
+    """Labels and late counts after each part has come in a run of its own."""
+    src, out, late, ck = (scratch_path(spark, n) for n in ("ls", "lo", "ll", "lc"))
+    own = stream_session(spark)
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        run_labels(own.readStream.schema(line.schema).parquet(src), out, late, ck, **options)
+    return spark.read.schema(OUT).parquet(out), spark.read.schema(LATE).parquet(late)
+
+
+def same_labels(got, want):
+    a, b = (x.select(*LABELS).toPandas().sort_values(LABELS[:2]).reset_index(drop=True) for x in (got, want))
+    a.loc[a.status == "insufficient_window", "t1_date"] = b.loc[b.status == "insufficient_window", "t1_date"] = None
+    pd.testing.assert_frame_equal(a, b, check_exact=False, check_dtype=False)
+    return set(b.status)
+
+
 def test_stream_labels_equal_batch(spark):
     rng = np.random.default_rng(2)
-    prices = [(e, D0 + dt.timedelta(days=i), float(rng.integers(50, 90)) if e else 5.0) for e in (0, 1, 2) for i in range(60)]
-    reports = [(e, D0 + dt.timedelta(days=i)) for e in (0, 1, 2) for i in (0, 3, 30, 55)]
+    day = lambda i: D0 + dt.timedelta(days=i)
+    prices = [(e, day(i), float(rng.integers(50, 90)) if e else 5.0) for e in (0, 1, 2) for i in range(60)]
+    prices += [(4, day(i), float(rng.integers(50, 90))) for i in range(22)]  # ends early
+    reports = [(e, day(i)) for e in (0, 1, 2) for i in (0, 3, 30, 55)] + [(4, day(0)), (4, day(5)), (4, day(5)), (5, day(3)), (1, None)]
     p = spark.createDataFrame(prices, "entity long, d date, adjusted_close double")
     r = spark.createDataFrame(reports, "entity long, release_date date")
     line = time_line(r, p)
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        src, out, ck = (scratch_path(spark, n) for n in ("ls", "lo", "lc"))
-        for lo, hi in ((0, 25), (25, 41), (41, 99)):
-            a, b = D0 + dt.timedelta(days=lo), D0 + dt.timedelta(days=hi)
-            line.filter((F.col("day") >= F.lit(a)) & (F.col("day") < F.lit(b))).write.mode("append").parquet(src)
-            s = spark.readStream.schema(line.schema).parquet(src)
-            stream_labels(s, n=20).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    cols = ["entity", "release_date", "t1_date", "t63_date", "ret", "vol", "sharpe", "status"]
-    want = forward_labels(r, p, n=20).filter("status <> 'insufficient_window'").select(*cols).toPandas().sort_values(cols[:2])
-    got = spark.read.parquet(out).select(*cols).toPandas().sort_values(cols[:2])
-    pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True), check_exact=False)
-    assert set(want.status) == {"ok", "zero_volatility"}
+    # real trading days come a part late, inside the delay; other rows come far too late
+    held = (F.col("kind") == 0) & (F.col("day") >= F.lit(day(18))) & (F.col("day") < F.lit(day(25))) & (F.dayofmonth("day") % 2 == 0)
+    cut = lambda a, b: (F.col("day") >= F.lit(day(a))) & (F.col("day") < F.lit(day(b)))
+    late = line.filter((F.col("kind") == 0) & cut(0, 10)).withColumn("close", F.col("close") * 2)
+    parts = [line.filter(cut(0, 25) & ~held), line.filter(cut(25, 41)).unionByName(line.filter(held)), line.filter(cut(41, 99)).unionByName(late), clock(line, dt.date(2200, 1, 1))]
+    got, log = run_parts(spark, line, parts, n=20, delay="8 days")
+    want = forward_labels(r, p, n=20)
+    assert same_labels(got, want) == {"ok", "zero_volatility", "insufficient_window"}
+    assert log.agg(F.sum("n_late")).first()[0] == late.count() > 0
+
+
+def test_stream_labels_wait_for_the_watermark(spark):
+    """A price that is corrected before the watermark passes counts with its last value, and idle entities are closed."""
+    p = [(1, D0 + dt.timedelta(days=i), 10.0 + i) for i in range(30)]
+    prices = spark.createDataFrame(p, "entity long, d date, adjusted_close double")
+    reports = spark.createDataFrame([(1, D0 + dt.timedelta(days=5)), (1, D0 + dt.timedelta(days=25))], "entity long, release_date date")
+    line = time_line(reports, prices)
+    first = F.col("day") <= D0 + dt.timedelta(days=12)
+    fixed = line.filter((F.col("kind") == 0) & (F.col("day") == D0 + dt.timedelta(days=12))).withColumn("close", F.lit(99.0))
+    got, _ = run_parts(spark, line, [line.filter(first), line.filter(~first).unionByName(fixed)], n=10, delay="5 days", idle_days=20)
+    changed = prices.withColumn("adjusted_close", F.when(F.col("d") == D0 + dt.timedelta(days=12), 99.0).otherwise(F.col("adjusted_close")))
+    assert same_labels(got, forward_labels(reports, changed, n=10).filter("status = 'ok'")) == {"ok"}
+    got, _ = run_parts(spark, line, [line.filter(first), line.filter(~first).unionByName(fixed), clock(line, D0 + dt.timedelta(days=60))], n=10, delay="5 days", idle_days=20)
+    assert same_labels(got, forward_labels(reports, changed, n=10)) == {"ok", "insufficient_window"}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS
 
 
 def test_correlations_of_offset_columns(spark):
@@ -209,25 +259,6 @@ def test_fingerprint_tells_texts_and_names_apart(spark):
     assert int(quality.fingerprint(many, "t").first().sum_hash) > 2**63
 
 
-def test_late_prices_are_not_looked_ahead_to(spark):
-    p = [(1, D0 + dt.timedelta(days=i), 10.0 + i) for i in range(30)]
-    line = time_line(spark.createDataFrame([(1, D0 + dt.timedelta(days=5)), (1, None)], "entity long, release_date date"), spark.createDataFrame(p, "entity long, d date, adjusted_close double"))
-    late = line.filter("kind = 0").withColumn("close", F.lit(999.0))
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        src, out, ck = (scratch_path(spark, n) for n in ("as", "ao", "ac"))
-        first, rest = F.col("day") <= D0 + dt.timedelta(days=12), F.col("day") > D0 + dt.timedelta(days=12)
-        for part in (line.filter(first | F.col("day").isNull()), line.filter(rest).unionByName(late.filter(first))):
-            part.write.mode("append").parquet(src)
-            s = spark.readStream.schema(line.schema).parquet(src)
-            stream_labels(s, n=10).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    (r,) = spark.read.schema("entity long, release_date date, t1_date date, t63_date date, ret double").parquet(out).collect()
-    assert (r.t1_date, r.t63_date) == (D0 + dt.timedelta(days=6), D0 + dt.timedelta(days=15)) and r.ret == pytest.approx(25.0 / 16.0 - 1)
-
-
 def test_task_functions_need_no_package_on_the_executor(tmp_path):
     """A Python function of the package runs from a folder where workers cannot import it."""
     import os
@@ -248,8 +279,6 @@ def test_task_functions_need_no_package_on_the_executor(tmp_path):
 
 def test_unlimited_forests_have_the_maximum_depth():
     from daybook.operators import models
-    from daybook.plans import q_models
 
     for specs in (models.roster(), models.classifiers()):
         assert max(specs["RandomForest"].grid["max_depth"]) == 30
-    assert q_models.MEMBERS["RandomForest"]["max_depth"] == 30
