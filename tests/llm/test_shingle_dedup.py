@@ -61,3 +61,80 @@ def test_dense_group_with_leaders(spark, monkeypatch):
     base = " ".join(f"w{rnd.randrange(5000)}" for _ in range(300))
     texts = [edited(rnd, base, rnd.choice([1, 3, 6, 9])) for _ in range(60)] + [base, base]
     assert stage(spark, texts) == brute_force(texts)
+
+
+def compared(monkeypatch):
+    """Counts of the pairs that the sets decide."""
+    counts, real = [], shingle_dedup.alike
+
+    def count(pairs, sets, similarity):
+        counts.append(pairs.count())
+        return real(pairs, sets, similarity)
+
+    monkeypatch.setattr(shingle_dedup, "alike", count)
+    return counts
+
+
+def test_dense_group_below_the_threshold_is_not_compared_in_pairs(spark, monkeypatch):
+    """Copies of one text, each with its own few edits, pairwise from 0.6 to 0.8: many share keys, few are links."""
+    rnd, done = random.Random(5), {}
+    base = " ".join(f"w{rnd.randrange(5000)}" for _ in range(120))
+    counts = compared(monkeypatch)
+    for n in (150, 300, 600):
+        texts = [edited(rnd, base, rnd.choice([3, 3, 3, 4, 5])) for _ in range(n)]
+        counts.clear()
+        assert stage(spark, texts) == brute_force(texts)
+        done[n] = sum(counts)
+    # all pairs would be 4 times as many at each step
+    assert done[600] < 2.6 * done[300] and done[600] < 20 * 600, done
+
+
+def test_refined_keys_lose_no_pair(spark):
+    """Every similar pair of a key is joined by the links or shares a refined key."""
+    rnd = random.Random(6)
+    base = [" ".join(f"w{rnd.randrange(900)}" for _ in range(n)) for n in (60, 90)]
+    texts = list({edited(rnd, b, rnd.choice([0, 1, 2, 3])) for b in base for _ in range(60)}) + [base[0] + " " + " ".join(f"x{i}" for i in range(k)) for k in range(3, 30, 3)]
+    sets = [shingles(t) for t in texts]
+    df = spark.createDataFrame([(i, [hash(x) for x in s]) for i, s in enumerate(sets)], "node long, set array<long>")
+    member = spark.createDataFrame([(k, i, len(s), i) for i, s in enumerate(sets) for k in (0, 1 + i % 2)], "key long, node long, n int, root long")
+    got, links = shingle_dedup.refined(member, df, 0.8)
+    keys, joined = {}, {frozenset((r.a, r.b)) for r in links.collect()}
+    for r in got.collect():
+        keys.setdefault(r.node, set()).add((r.key, r.side))
+    both = shingle_dedup.BOTH
+
+    def meet(i, j):
+        return any((k, both) in keys.get(j, ()) if s == both else (k, 1 - s) in keys.get(j, ()) for k, s in keys.get(i, ()))
+
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in joined:
+        assert similarity(sets[a], sets[b]) >= 0.8
+        root[find(a)] = find(b)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    assert len(pairs) > 100
+    assert all(find(i) == find(j) or meet(i, j) for i, j in pairs)
+
+
+def test_odd_rows(spark):
+    rnd = random.Random(7)
+    long = " ".join(f"w{rnd.randrange(50_000)}" for _ in range(20_000))
+    t = " ".join(f"v{rnd.randrange(5000)}" for _ in range(100))
+    rows = [
+        (5, t, "x"), (3, t, "y"), (3, t, "y"), (None, t, "z"), (9, t.upper(), "u"), (10, edited(rnd, t, 1), "e"),  # one group
+        (20, long, "l"), (21, long + " more", "m"),  # one group
+        (30, None, "n"), (31, "", "o"), (32, " \n", "p"),  # no words: one group
+        (40, "two words", "q"), (41, "Two  words", "r"),  # one shingle
+        (None, "alone in its words here today", "s"),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, hash string, node int, n int").repartition(5)
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.hash) for r in got.collect()) == [(-1, "s"), (3, "y"), (20, "l"), (30, "n"), (40, "q")]
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+    assert corpus_pipeline.drop_near_duplicates(spark, df.filter("hash = 's'"), "").count() == 1

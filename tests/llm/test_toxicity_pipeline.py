@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def test_held_out_accuracy(spark):
     docs += [(None, "no id", None, None, 1), (5000, None, "x", "y", 1), (5001, "", "x", "y", 1), (5002, "the " * 50_000 + "moron scumbag", "x", "y", 1), docs[6]]
     d = spark.createDataFrame(docs, DOCS)
     lab = spark.createDataFrame([*labels, (None, 1, 1), (7, 1, None), (6, 0, 0)], LABELS)
-    got = tx.toxicity(d.drop("score"), lab).collect()
+    got = tx.toxicity(d, lab).collect()
     assert len(got) == len(docs)
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
@@ -46,7 +48,7 @@ def test_held_out_accuracy(spark):
 
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs, labels = data(300, 2)
-    d = spark.createDataFrame(docs, DOCS).drop("score")
+    d = spark.createDataFrame(docs, DOCS)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
     a, b = (tx.fit(d, spark.createDataFrame(x, LABELS)) for x in (labels, flipped))
     assert a.feature.tolist() == b.feature.tolist() and abs(a.weight - b.weight).max() < 1e-9
@@ -54,7 +56,7 @@ def test_labels_of_held_out_rows_are_not_read(spark):
 
 def test_bound_and_missing_classes(spark):
     docs, labels = data(200, 3)
-    d, lab = spark.createDataFrame(docs, DOCS).drop("score"), spark.createDataFrame(labels, LABELS)
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
     assert tx.training_rows(d, lab, "doc_id", "text", "toxic", 37).count() == 37
     one = tx.toxicity(d, lab.filter("toxic = 0")).select("score").distinct().collect()
     n = lab.filter(~tx.held_out()).filter("toxic = 0").count()
@@ -63,6 +65,46 @@ def test_bound_and_missing_classes(spark):
     assert tx.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_stage_keeps_clashing_columns(spark):
+    docs, labels = data(120, 5)
+    path = scratch_path(spark, "toxic-stage")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{path}/labels.parquet")
+    d = spark.createDataFrame([(*r[:4], 123.5, "kept", True) for r in docs], "doc_id long, text string, lang string, source string, score double, predicted string, held_out boolean")
+    got = corpus_pipeline.drop_toxic(spark, d, path)
+    assert got.columns == d.columns and 0 < got.count() < 120
+    assert got.filter("score = 123.5 and predicted = 'kept' and held_out").count() == got.count()
+
+
+def test_ratios_and_scores_by_hand(spark):
+    """Log-count ratios, selection and score against plain counting on a small sample."""
+    docs, labels = data(60, 6)
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    m = tx.fit(d, lab, features=200)
+    use = [(t, y) for (i, t, *_), (_, _, y) in zip(docs, labels, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1]
+    sets = [set(tx.grams(t).tolist()) for t, _ in use]
+    every = sorted(set().union(*sets))
+    one = {g: 1 + sum(g in s and y == 1 for s, (_, y) in zip(sets, use, strict=True)) for g in every}
+    zero = {g: 1 + sum(g in s and y == 0 for s, (_, y) in zip(sets, use, strict=True)) for g in every}
+    p, q = sum(one.values()), sum(zero.values())
+    ratio = {g: math.log(one[g] / p) - math.log(zero[g] / q) for g in every}
+    rank = sorted(every, key=lambda g: (-round(abs(ratio[g]) * math.sqrt(one[g] + zero[g] - 2), 9), g))
+    assert len(set(m.feature.tolist()) & set(rank[:200])) >= 198  # ties at the end
+    # the weights minimise the logistic loss of the scaled sets with the ridge penalty
+    at = {g: k for k, g in enumerate(m.feature.tolist())}
+    x = np.zeros((len(use), len(at)))
+    for row, s in zip(x, sets, strict=True):
+        for g in s & at.keys():
+            row[at[g]] = ratio[g]
+    y, w = np.array([t for _, t in use]), m.weight / np.array([ratio[g] for g in m.feature.tolist()])
+    loss = lambda v, b: np.log1p(np.exp(-(2 * y - 1) * (x @ v + b))).mean() + 1e-4 * v @ v / 2
+    rng = np.random.default_rng(0)
+    assert all(loss(w, m.intercept) <= loss(w + 0.01 * rng.normal(size=len(w)), m.intercept + 0.01 * rng.normal()) for _ in range(50))
+    got = {r.doc_id: r.score for r in tx.toxicity(d, lab, features=200).collect()}
+    for i, t, *_ in docs:
+        z = m.intercept + sum(m.weight[at[g]] for g in set(tx.grams(t).tolist()) & at.keys())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
+
+
 def test_pipeline(spark):
     docs, labels = data(700, 4)
     docs = [r[:4] + (len(r[1]),) for r in docs]
