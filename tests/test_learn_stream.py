@@ -32,14 +32,14 @@ def test_ridge_equals_closed_form(spark):
     x, y, df = frame(spark)
     m = models.fit(models.roster()["Ridge"], {"alpha": 10.0}, df)
     want = np.linalg.solve(x.T @ x + 10 * np.eye(x.shape[1]), x.T @ (y - y.mean()))
-    assert np.allclose(m.model.coefficients.toArray(), want, atol=1e-6)
+    assert np.allclose(m.model.weight, want, atol=1e-6)
 
 
 def test_lasso_and_elastic_net_meet_their_optimality_conditions(spark):
     x, y, df = frame(spark)
     n = len(y)
     for name, p, l1, l2 in (("Lasso", {"alpha": 0.5}, 0.5, 0.0), ("ElasticNet", {"alpha": 0.5, "l1_ratio": 0.4}, 0.2, 0.3)):
-        b = models.fit(models.roster()[name], p, df).model.coefficients.toArray()
+        b = models.fit(models.roster()[name], p, df).model.weight
         g = x.T @ (y - y.mean() - x @ b) / n - l2 * b
         on = np.abs(b) > 1e-8
         assert np.allclose(g[on], l1 * np.sign(b[on]), atol=1e-4) and (np.abs(g[~on]) <= l1 + 1e-4).all()
