@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from daybook.functions.ranking import quantiles
+from daybook.functions.ranking import quantiles_of_many
 
 # fixed values: section markers per form (start, end, may run to the end of the text)
 MARKERS = {
@@ -241,7 +241,7 @@ def aggregate_vote_rows(votes: DataFrame, keys: Sequence[str], vote: str, replie
 
     ``replied`` tells per row whether a reply came at all.
     """
-    med = quantiles(votes, keys, vote, {"score_raw": 0.5})
+    med = quantiles_of_many(votes, keys, vote, {"score_raw": 0.5})
     seen = votes.groupBy(*keys).agg(F.max(replied.cast("int")).alias("_r"))
     status = F.when(F.col("score_raw").isNotNull(), "scored").when(F.col("_r") == 1, "missing").otherwise("error")
     return seen.join(med, list(keys), "left").select(
