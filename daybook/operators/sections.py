@@ -40,6 +40,7 @@ BUDGET_CHARS = 50_000
 SECTION_CAPS = {"discussion": 50_000, "risk": 10_000, "business": 4_000}
 TITLES = {"discussion": "MD&A", "risk": "RISK FACTORS", "business": "BUSINESS"}
 SECTIONS = list(TITLES)
+SLICE = 200  # documents that Python holds beside their Arrow batch
 
 
 class _Text(HTMLParser):
@@ -99,10 +100,12 @@ def html_to_text(docs: DataFrame, html: str, out: str = "text") -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([_nodes(h) for h in b.column(len(keep)).to_pylist()], pa.string())
-            cols = [b.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, texts], schema=arrow)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                texts = pa.array([_nodes(h) for h in b.column(len(keep)).to_pylist()], pa.string())
+                cols = [b.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*cols, texts], schema=arrow)
 
     return docs.select(*keep, html).mapInArrow(run, schema).withColumn(out, tidy_text(F.col(out)))
 
@@ -123,8 +126,7 @@ def longest_section(text: Column, start: str, end: str, allow_eof: bool = False)
     """Struct (start, end, section): longest slice from a start marker to its next end marker."""
     a, b = re.compile(start, re.I), re.compile(end, re.I)
 
-    @F.pandas_udf("start int, end int, section string")
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hit = _longest(t, a, b, allow_eof) if t else None
@@ -132,6 +134,12 @@ def longest_section(text: Column, start: str, end: str, allow_eof: bool = False)
         out = pd.DataFrame(rows, columns=["start", "end", "section"])
         return out.astype({"start": "Int32", "end": "Int32"})
 
+    @F.pandas_udf("start int, end int, section string")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                yield found(whole.iloc[at : at + SLICE])
+
     return find(text)
 
 
@@ -145,18 +153,26 @@ def extract_sections(docs: DataFrame, text: str, form: str, markers: Mapping = M
         s: {f: (re.compile(m[0], re.I), re.compile(m[1], re.I), m[2]) for f, m in fs} for s, fs in pairs.items()
     }
 
-    @F.pandas_udf(", ".join(f"{s} string" for s in SECTIONS))
-    def find(texts: pd.Series, forms: pd.Series) -> pd.DataFrame:
-        out: dict[str, list[str]] = {s: [] for s in SECTIONS}
-        for t, f in zip(texts, forms):
-            for s in SECTIONS:
-                m = compiled[s].get(f)
-                hit = _longest(t, *m) if m and t else None
-                out[s].append(t[hit[0] : hit[1]].strip() if hit else "")
-        return pd.DataFrame(out)
-
-    got = docs.withColumn("_s", find(text, form))
-    return got.select(*docs.columns, *[F.col(f"_s.{s}").alias(s) for s in SECTIONS])
+    names = docs.columns
+    schema = StructType(list(docs.schema.fields))
+    for s in SECTIONS:
+        schema = schema.add(s, "string")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                out: dict[str, list[str]] = {s: [] for s in SECTIONS}
+                for t, f in zip(b.column(names.index(text)).to_pylist(), b.column(names.index(form)).to_pylist()):
+                    for s in SECTIONS:
+                        m = compiled[s].get(f)
+                        hit = _longest(t, *m) if m and t else None
+                        out[s].append(t[hit[0] : hit[1]].strip() if hit else "")
+                cols = [b.column(i).cast(arrow.field(i).type) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(out[s], pa.string()) for s in SECTIONS]], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
 
 
 def is_exhibit(name: Column) -> Column:

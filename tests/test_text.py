@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from daybook.functions.exprs import parse_number, parse_score
 from daybook.operators import sections as sx
@@ -123,3 +125,42 @@ def test_unreadable_documents_are_kept_apart(spark):
     docs = spark.createDataFrame([(1, good), (2, good[:30]), (3, None), (4, "{}")], "id int, doc string")
     assert sorted((r.id, r.unit, r.val) for r in fl.flatten_facts(docs, "doc").collect()) == [(1, "EUR", 3.0), (1, "USD", 1.0), (1, "USD", 2.0)]
     assert {r.id for r in fl.unreadable_documents(docs, "doc").collect()} == {2, 3}
+
+
+class _Task:
+    """Stands for a DataFrame and keeps the function that its tasks would run."""
+
+    def __init__(self, *columns):
+        self.columns, self.schema = list(columns), StructType([StructField(c, StringType()) for c in columns])
+
+    def select(self, *_):
+        return self
+
+    withColumn = select
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_text_tasks_hold_few_documents(spark):
+    """A batch of many documents leaves the task in parts, in order and whole."""
+    n = 5 * sx.SLICE + 7
+    texts = [f"<p>Item 1. Own {i}</p><p>Item 1A. Risk</p>" for i in range(n)]
+    docs = _Task("i", "html")
+    sx.html_to_text(docs, "html")
+    ids = pa.array([str(i) for i in range(n)])
+    parts = list(docs.run(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["i", "html"])])))
+    assert max(b.num_rows for b in parts) <= sx.SLICE
+    plain = [r for b in parts for r in b.column(1).to_pylist()]
+    assert plain == [f"Item 1. Own {i}\nItem 1A. Risk" for i in range(n)]
+    docs = _Task("i", "text", "form")
+    sx.extract_sections(docs, "text", "form")
+    forms = pa.array(["annual" if i % 2 else None for i in range(n)], pa.string())
+    parts = list(docs.run(iter([pa.RecordBatch.from_arrays([ids, pa.array(plain), forms], names=["i", "text", "form"])])))
+    assert max(b.num_rows for b in parts) <= sx.SLICE
+    assert [r for b in parts for r in b.column(5).to_pylist()] == [f"Item 1. Own {i}" if i % 2 else "" for i in range(n)]
+    assert [r for b in parts for r in b.column(0).to_pylist()] == ids.to_pylist()
+    many = spark.range(3 * sx.SLICE + 1).coalesce(1).selectExpr("id", "concat('item 2 x', id, ' item 3') t")
+    got = many.withColumn("m", sx.longest_section(many.t, *sx.MARKERS["quarterly"]["discussion"])).selectExpr("count(*) n", "bool_and(m.section = concat('item 2 x', id)) ok").first()
+    assert (got.n, got.ok) == (3 * sx.SLICE + 1, True)
