@@ -192,3 +192,16 @@ def test_permutation_importance_of_a_linear_model(spark):
                 drop[j].append(spear(x[ids] @ w, y[ids]) - spear(pred, y[ids]))
     assert all(got["abcde"[j]] == pytest.approx(np.mean(v), abs=1e-9) for j, v in drop.items())
     assert got["d"] == got["e"] == 0 < got["b"] < got["a"]
+
+
+def test_model_frames_read_their_rows_once(spark, monkeypatch):
+    """The rows of all roles are written before the passes of the preparation read them."""
+    from daybook.plans import q_models as qm
+
+    rows = spark.createDataFrame([(i % 2, "train" if i % 3 else "test") for i in range(12)], "fold int, role string").repartition(3)
+    seen = []
+    monkeypatch.setattr(qm, "role_rows", lambda s, d: rows)
+    monkeypatch.setattr(qm.prep, "fit_frame", lambda train, *_, **__: seen.append(train) or train)
+    monkeypatch.setattr(qm.prep, "apply_frame", lambda got, *_, **__: got)
+    assert qm._frames(spark, "", [], []).count() == 12 and seen[0].count() == 8
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
