@@ -153,3 +153,12 @@ def test_pipeline(spark):
             end += n
         assert end <= 2048
     assert sorted((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, path).collect()) == sorted((r.doc_id, r.piece, r.length) for r in pack)
+
+
+def test_score_batches_are_small(spark):
+    """Texts go to the worker by the hundred: one Arrow batch of 10,000 whole texts took an executor past its memory."""
+    model = tx.Model(np.array([5, 9]), np.array([2.0, -1.0]), -0.5)
+    df = spark.createDataFrame([("some text",), (None,), ("",)], "text string").select(tx.score(F.col("text"), model).alias("score"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert all(0 < r.score < 1 for r in df.collect())
