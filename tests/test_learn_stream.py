@@ -13,7 +13,7 @@ from daybook.operators import models, prep, quality, serve, stats
 from daybook.operators.label import forward_labels
 from daybook.session import scratch_path
 from daybook.streaming.bars import stream_weekly_bars
-from daybook.streaming.labels import LATE, OUT, ROCKS, clock, run_labels, stream_session, time_line
+from daybook.streaming.labels import LATE, OUT, PRICE, REPORT, ROCKS, _OpenReleases, clock, run_labels, stream_session, time_line
 from daybook.streaming.upsert import current, manifest, paths, stream_upsert, write_batch
 
 D0 = dt.date(2020, 1, 1)
@@ -282,3 +282,47 @@ def test_unlimited_forests_have_the_maximum_depth():
 
     for specs in (models.roster(), models.classifiers()):
         assert max(specs["RandomForest"].grid["max_depth"]) == 30
+
+
+def test_label_state_is_called_by_entity_not_by_row():
+    """Each call of the state crosses to the JVM: 1,000 prices of an entity cost no more calls than ten."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "exists":
+                    return self.rows is not None
+                if name in ("get", "iterator"):
+                    return self.rows if isinstance(self.rows, tuple) else iter(self.rows or [])
+                if name in ("put", "update"):
+                    self.rows = args[0]
+                if name == "appendList":
+                    self.rows = [*(self.rows or []), *args[0]]
+                if name == "clear":
+                    self.rows = None
+            return call
+
+    class Handle:
+        def __getattr__(self, name):
+            return (lambda *a: State()) if name.startswith("get") else (lambda *a: calls.append(name) or [])
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return (D0 + dt.timedelta(days=2000) - dt.date(1970, 1, 1)).days * 86_400_000
+
+    def used(n):
+        calls.clear()
+        p = _OpenReleases(63, 0.02, 400)
+        p.init(Handle())
+        rows = [(D0, REPORT, None)] + [(D0 + dt.timedelta(days=1 + i), PRICE, 100.0 + i % 7) for i in range(n)]
+        list(p.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["day", "kind", "close"])]), None))
+        return len(calls), [x for b in p.handleExpiredTimer((1,), Now(), None) for x in b.itertuples()]
+
+    few, many = used(10), used(1000)
+    assert many[0] == few[0] and len(calls) < 30
+    assert [r.status for r in few[1]] == ["insufficient_window"] and [r.status for r in many[1]] == ["ok"]
