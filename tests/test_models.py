@@ -1,5 +1,7 @@
 """Fits against plain versions: pair-sum solvers, histogram boosting, support vector machines, stored artefacts."""
 
+from threading import Barrier
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from daybook.operators import artefacts, boosting, linear, models, svm
+from daybook.operators.blocks import blocks
 from daybook.session import scratch_path
 
 
@@ -108,6 +111,58 @@ def test_histogram_boosting_is_boosting(spark, monkeypatch, binary):
     assert all(np.allclose(again[f].array(x), fits[f].array(x)) for f in fits)
 
 
+def test_blocks_of_a_fit_are_even(spark):
+    """Rows in one file per fold are dealt out to all cores; a task has few folds."""
+    big = spark.range(12_000).selectExpr("id", "cast(least(floor(id / 1500), 2) as int) fold", "array(cast(id as double), 1D) x", "cast(id as double) y").coalesce(1)
+    with blocks(big, "fold", "x", "y", ["id"]) as data:
+        tasks = data.mapPartitions(lambda part: [[(g, len(x)) for g, x, _, _ in part]]).collect()
+    sizes = [sum(n for _, n in t) for t in tasks]
+    assert sum(sizes) == 12_000 and len(sizes) >= 4 and max(sizes) < 2 * 12_000 / len(sizes) and sum(len({g for g, _ in t}) for t in tasks) <= len(tasks) + 2
+
+
+def test_boosting_adds_up_one_child_of_a_node(spark, monkeypatch):
+    """Below the root a pass gives sums of one child of each node and only of the tree's features."""
+    shapes, real = [], boosting.added
+    monkeypatch.setattr(boosting, "added", lambda *a: [shapes.append({h.shape for h in got.values()}) or got for got in [real(*a)]][0])
+    df, x, *_ = frame(spark)
+    boosting.boost(df, [{"max_depth": 3}], keys=["id"], rounds=2)
+    assert shapes == [{(n, 4, boosting.BINS, 2)} for n in (1, 1, 2)] * 2
+
+
+def test_forests_hold_no_tree_objects(spark):
+    df, x, y, fold = frame(spark)
+    for spec, rows in ((models.roster(trees=5)["RandomForest"], df), (models.classifiers(trees=5)["RandomForest"], frame(spark, classes=True)[0])):
+        m = models.fit(spec, {"max_depth": 3, "min_leaf": 5}, rows).model
+        m.write().overwrite().save(path := scratch_path(spark, "forest"))
+        again = type(m).load(path)
+        for one in (m, again):
+            assert "trees" not in vars(one) and one.getNumTrees == 5 == len(one.trees) and one.getMaxDepth() == 3
+        ready = rows.select("id", array_to_vector("x").alias("_f"))
+        assert m.transform(ready).orderBy("id").select("prediction").collect() == again.transform(ready).orderBy("id").select("prediction").collect()
+
+
+def test_steps_of_a_minimum_are_tried_together():
+    """Halvings of a step share passes, and the longest good one is taken."""
+    calls = []
+
+    def value(points):
+        calls.append(len(points))
+        return {f: (50 * v @ v, 100 * v) for f, v in points.items()}
+
+    got = svm.minimise(value, {(0, 0): np.array([1.0, 0.0]), (0, 1): np.array([0.0, 3.0])}, rounds=30)
+    assert all(np.abs(v).max() < 1e-6 for v in got.values())
+    assert max(calls) <= 2 * max(svm.HALVED) and sum(svm.HALVED) == 25
+    passes = []  # of a function without a way down
+    svm.minimise(lambda p: passes.append(1) or {f: (float(len(f) > 2), np.ones(2)) for f in p}, {(0, 0): np.zeros(2)}, rounds=5)
+    assert len(passes) == 1 + len(svm.HALVED)
+
+
+def test_models_are_fitted_at_the_same_time():
+    """Each waits for the other."""
+    both = Barrier(2, timeout=20)
+    assert models.at_once([lambda: both.wait() >= 0 and "a", lambda: both.wait() >= 0 and "b"]) == ["a", "b"] and models.at_once([]) == []
+
+
 def test_boosting_of_constant_labels(spark):
     df, x, _, _ = frame(spark)
     flat = df.withColumn("y_fit", F.lit(2.5))
