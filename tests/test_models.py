@@ -97,6 +97,7 @@ def plain_boost(x, y, h, edges, p, rounds, binary, k, seed=42):
 @pytest.mark.parametrize("binary", [False, True])
 def test_histogram_boosting_is_boosting(spark, monkeypatch, binary):
     monkeypatch.setattr(boosting, "REFRESH", 3)
+    monkeypatch.setattr(boosting, "ALONG", 2)
     df, x, y, fold = frame(spark, n=160, seed=1, classes=binary)
     points = [{"max_depth": 2, "learning_rate": 0.3, "reg_lambda": 1}, {"max_depth": 3, "learning_rate": 0.2, "reg_lambda": 5}]
     fits = boosting.boost(df, points, keys=["id"], rounds=7, binary=binary)
