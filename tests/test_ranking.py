@@ -117,3 +117,37 @@ def _shuffled(df) -> int:
         seq = p.children()
         todo += kids or [seq.apply(i) for i in range(seq.size())]
     return total
+
+
+@pytest.mark.parametrize("hot_run", [1 << 18, 40, 0], ids=["even", "some hot", "all hot"])
+def test_row_counts_match_pandas(spark, path, monkeypatch, hot_run):
+    """Rows keep their columns; NULL keys and values take no part; rows that repeat are counted each."""
+    monkeypatch.setattr(rk, "HOT_RUN", hot_run)
+    pdf, _ = sample(spark)
+    pdf = pd.concat([pdf, pdf[pdf.g == "hot"].head(60), pdf[pdf.g == "hot"].head(1).loc[[0] * 90]], ignore_index=True)
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("hot", None, 0.0, -1), (None, 1.0, 0.0, -2)], "g string, v double, w double, id long"))
+    got = rk.row_counts(df, ["g"], "v").toPandas().sort_values(["id"], kind="stable", ignore_index=True)
+    want = pdf.sort_values("id", kind="stable", ignore_index=True)
+    by = want.groupby("g")["v"]
+    assert list(got.columns) == ["g", "v", "w", "id", "below_n", "n", "total_n"] and got[["g", "v", "w", "id"]].equals(want[["g", "v", "w", "id"]])
+    assert (got["below_n"] == by.rank(method="min") - 1).all() and (got["below_n"] + got["n"] == by.rank(method="max")).all()
+    assert (got["total_n"] == by.transform("size")).all()
+    whole = rk.row_counts(df, [], "v").toPandas()
+    assert len(whole) == len(pdf) + 1 and (whole["total_n"] == len(pdf) + 1).all()
+
+
+def test_row_counts_special_values(spark, path):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, nan, -inf, inf, 1.0, nan, 0.0, -0.0)], "v double")
+    got = {repr(r.v + 0.0): (r.below_n, r.n) for r in rk.row_counts(df, [], "v").collect()}
+    assert got == {"-inf": (0, 1), "0.0": (1, 2), "1.0": (3, 2), "inf": (5, 1), "nan": (6, 2)}
+
+
+def test_percentiles_do_not_move_rows_to_meet_counts(spark):
+    """Rows are shuffled once, by run: no join of the plan sorts and moves them."""
+    from daybook.operators import peers
+
+    rows = [("s", "annual", "2020", "k", float(i % 7), i) for i in range(60)]
+    out = peers.peer_percentiles(spark.createDataFrame(rows, "sector string, frequency string, period string, kpi_name string, value double, id int"))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns[:5] == ["sector", "frequency", "period", "kpi_name", "oriented"] and out.count() == 60
