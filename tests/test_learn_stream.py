@@ -248,6 +248,24 @@ def test_correlations_of_offset_columns(spark):
     assert s["a"].pearson == pytest.approx(want, abs=1e-6) and s["c"].pearson is None and s["c"].spearman == 0
 
 
+def test_feature_target_corr_matches_pandas_and_moves_rows_of_features_once(spark):
+    """Ranks are those among complete pairs; ties, NULLs, empty and constant columns; rows of features have one large shuffle."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"y": rng.integers(0, 30, 300) / 4, "a": rng.integers(0, 9, 300) / 2, "b": rng.normal(size=300), "k": 1.0, "none": np.nan})
+    for c, part in (("y", 0.1), ("a", 0.4), ("b", 0.7)):
+        pdf.loc[rng.random(300) < part, c] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf))
+    out = stats.feature_target_corr(df, ["a", "b", "k", "none"], "y", min_n=2, reliable_n=100)
+    # one of rows, one of sums for each of the two results that are joined
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(f") <= 3
+    got = {r.feature: r for r in out.collect()}
+    assert set(got) == {"a", "b", "k"} and got["k"].pearson is None and got["k"].spearman == 0
+    for c in "ab":
+        both = pdf[[c, "y"]].dropna()
+        assert got[c].n == len(both) and got[c].reliable == (len(both) >= 100)
+        assert got[c].pearson == pytest.approx(both[c].corr(both.y)) and got[c].spearman == pytest.approx(both[c].rank().corr(both.y.rank()))
+
+
 def test_fingerprint_tells_texts_and_names_apart(spark):
     def fp(rows, schema):
         return tuple(quality.fingerprint(spark.createDataFrame(rows, schema), "t").first())[3:]
