@@ -79,3 +79,22 @@ def test_reports_without_a_release_have_no_label(spark):
     r = spark.createDataFrame([("a", None), ("a", day(0))], "entity string, release_date date")
     assert {x.release_date: x.t1_date for x in label.first_row_after(r, p).collect()} == {None: None, day(0): day(1)}
     assert [x.release_date for x in label.forward_labels(r, p.filter("d is not null")).collect()] == [day(0)]
+
+
+def test_facts_and_prices_move_bare_rows(spark, tmp_path):
+    """Rows that hardly meet in a task are not summed there before the shuffle; sums, NULL entities and repeated rows stay as they were."""
+    from daybook.plans import fixtures as fx
+
+    rows = [(e, f"1996-0{m}-11 00:00:00", 10.0 * m, 0.05, 0.02, 4.0 * m, "A", "O") for e in (1, 1, 2, None) for m in (1, 2, 5)]
+    names = ["l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_linestatus"]
+    li = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, ["long", "string", *["double"] * 4, "string", "string"], strict=True)))
+    li.withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 3), (2, 3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(3, 4)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    prices, facts = fx._prices(spark, str(tmp_path)), fx._facts_wide(spark, str(tmp_path))
+    for df in (prices, facts):
+        assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.entity, r.d.month, r.adjusted_close) for r in prices.collect()} == {(e, m, 2.5) for e in (1, 2, None) for m in (1, 2, 5)}
+    assert {(r.entity, r.form, r.period_end.month, r.total_assets, r.total_debt) for r in facts.collect()} == {
+        (e, form, m, k * 30.0 * s, None) for e, k in ((1, 2), (2, 1)) for form, m, s in (("quarterly", 3, 3), ("quarterly", 6, 5), ("annual", 12, 8))
+    }
