@@ -1,4 +1,4 @@
-"""Fits that a task makes whole: against the passes over all rows, against plain searches."""
+"""Fits that a task makes whole: against the passes over all rows, against plain searches, and the whole grids."""
 
 import numpy as np
 import pytest
@@ -6,6 +6,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from daybook.operators import blocks, boosting, forest, models, svm
+from daybook.plans import q_models as qm
 from tests.test_models import frame
 
 
@@ -119,3 +120,22 @@ def test_small_fits_take_no_pass_per_step(spark, monkeypatch):
     for name in ("BoostedTrees", "KernelSVR"):
         with pytest.raises(AssertionError, match="a pass"):
             models.fit(r[name], r[name].points()[0], df)
+
+
+def test_searches_take_whole_grids(spark, monkeypatch, tmp_path):
+    """All points of all models are searched, and a query that needs some models searches only these."""
+    asked = []
+
+    def search(specs, *_):
+        asked.append({x.name: x.points() for x in specs})
+        rows = [(x.name, str(p), float(i), 0.0, i + 1 == len(x.points())) for x in specs for i, p in enumerate(x.points())]
+        return spark.createDataFrame(rows, "model string, point string, cv_mean double, cv_std double, is_best boolean")
+
+    monkeypatch.setattr(qm, "frames", lambda s, d: None)
+    monkeypatch.setattr(qm.models, "grid_search", search)
+    whole = models.roster()
+    assert qm.best_points(spark, str(tmp_path), ["KernelSVR"]) == {"KernelSVR": {"C": 10}}
+    assert qm.grid(spark, str(tmp_path)).count() == sum(len(x.points()) for x in whole.values()) == 41
+    assert asked == [{"KernelSVR": whole["KernelSVR"].points()}, {n: x.points() for n, x in whole.items() if n != "KernelSVR"}]
+    assert {n: x.points() for n, x in qm.CLASSIFIERS.items()} == {n: x.points() for n, x in models.classifiers().items()}
+    assert qm.best_points(spark, str(tmp_path))["RandomForest"]["max_depth"] == models.UNLIMITED and len(asked) == 2
